@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ["q_contacts"]
+MODULES = ["q_contacts", "q_geo", "q_detections"]
 
 
 def load_all() -> None:

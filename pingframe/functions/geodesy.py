@@ -38,8 +38,8 @@ def with_ecef(df, lat: str, lon: str, prefix: str):
 
 
 def arc_from_chord(dx: Column, dy: Column, dz: Column) -> Column:
-    chord = F.sqrt(dx * dx + dy * dy + dz * dz)
-    return 2.0 * MEAN_R * F.asin(F.least(chord / (2.0 * MEAN_R), F.lit(1.0)))
+    half = F.sqrt(dx * dx + dy * dy + dz * dz) / (2.0 * MEAN_R)
+    return 2.0 * MEAN_R * F.asin(F.when(half > 1.0, F.lit(1.0)).otherwise(half))     # NULL stays NULL
 
 
 def short_distance_m(lat1: ColumnLike, lon1: ColumnLike, lat2: ColumnLike, lon2: ColumnLike) -> Column:

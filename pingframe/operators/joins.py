@@ -79,8 +79,8 @@ def with_cells(df: DataFrame, metres: float, lat: str = "lat", lon: str = "lon",
 def _neighbour_cells(df: DataFrame, metres: float, lat: str, lon: str) -> DataFrame:
     """Each row once per grid cell that may hold a point within `metres` of it."""
     dlat = metres / (EARTH_M_PER_DEG_LAT * 0.99)
-    bands = F.array_distinct(F.array(F.floor(F.col(lat) - dlat), F.floor(F.col(lat)), F.floor(F.col(lat) + dlat)))
-    out = df.withColumn("_band", F.explode(bands).cast("int"))
+    bands = F.array_distinct(F.array(*[F.floor(F.col(lat) + d).cast("int") for d in (-dlat, 0.0, dlat)]))
+    out = df.withColumn("_band", F.explode(bands))
     step = metres / (EARTH_M_PER_DEG_LAT * 0.99) / F.greatest(
         F.least(F.cos(F.radians(F.col("_band"))), F.cos(F.radians(F.col("_band") + 1.0))), F.lit(0.01))
     near = F.array(F.lit(-1), F.lit(0), F.lit(1))

@@ -27,7 +27,7 @@ def track_legs(nav: DataFrame) -> DataFrame:
     joined = fixes.join(before.select("survey", "ping", F.col("_pv").alias("prev")), ["survey", "ping"], "left")
     leg = short_distance_m("prev.lat", "prev.lon", "fix.lat", "fix.lon")
     return joined.select("survey", "ping", F.col("fix.lat").alias("lat"), F.col("fix.lon").alias("lon"),
-                         F.when(F.col("prev").isNotNull(), leg).alias("leg_m"))
+                         leg.alias("leg_m"))
 
 
 def survey_coverage(nav: DataFrame, ground: DataFrame, geom: DataFrame, altitude: DataFrame | None = None) -> DataFrame:
