@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ["q_contacts", "q_geo", "q_detections"]
+MODULES = ["q_contacts", "q_geo", "q_detections", "q_evaluation"]
 
 
 def load_all() -> None:

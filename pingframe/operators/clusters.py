@@ -178,21 +178,24 @@ def tour(lat: np.ndarray, lon: np.ndarray, rounds: int = 8) -> np.ndarray:
         near = int(np.argmin(((p[rest] - p[order[k - 1]]) ** 2).sum(axis=1)))
         order[k] = rest[near]
         rest = np.delete(rest, near)
-    leg = lambda i, j: _arc(np.sqrt(((p[i] - p[j]) ** 2).sum(axis=-1)))
+    span = lambda u, v: _arc(np.sqrt(((u - v) ** 2).sum(axis=-1)))
+    q = p[order]                                   # points in tour order, so every scan is a slice
+    edge = span(q[:-1], q[1:])
     for _ in range(rounds):
         better = False
         for i in range(1, n - 2):
             j = i + 1
             while j < n - 1:
-                # next j that shortens the tour when order[i..j] is turned round
-                js = np.arange(j, n - 1)
-                now = leg(order[i - 1], order[i]) + leg(order[js], order[js + 1])
-                then = leg(order[i - 1], order[js]) + leg(order[i], order[js + 1])
-                gain = np.flatnonzero(then < now - 1e-9)
-                if not len(gain):
+                # next j that shortens the tour when stops i..j are turned round
+                then = span(q[i - 1], q[j:n - 1]) + span(q[i], q[j + 1:n])
+                gain = then < edge[i - 1] + edge[j:n - 1] - 1e-9
+                k = int(gain.argmax())
+                if not gain[k]:
                     break
-                j = int(js[gain[0]])
+                j += k
                 order[i:j + 1] = order[i:j + 1][::-1].copy()
+                q[i:j + 1] = q[i:j + 1][::-1].copy()
+                edge[i - 1:j + 1] = span(q[i - 1:j + 1], q[i:j + 2])
                 better = True
                 j += 1
         if not better:
