@@ -222,7 +222,8 @@ def a32(s):
 
 
 @query("a34_composition", "v_detections", """
-SELECT cls AS source, side AS split, count(*) AS n, round(100 * count(*) / sum(count(*)) OVER (PARTITION BY side)::DOUBLE, 6) AS share_pct FROM v_detections GROUP BY ALL""")
+WITH p AS (SELECT cls AS source, side AS split, count(*) AS n FROM v_detections GROUP BY ALL)
+SELECT source, split, n, round(100 * n / (sum(n) OVER (PARTITION BY split))::DOUBLE, 6) AS share_pct FROM p""")
 def a34(s):
     return E.composition(s.v_detections.select(F.col("cls").alias("source"), F.col("side").alias("split"))).withColumn("share_pct", F.round("share_pct", 6))
 
