@@ -13,19 +13,19 @@ from pingframe.plans.contacts import build_contacts
 from .q_conditioning import KEYS, nav, shape, traces
 from .registry import query
 
-# planted highlights (cols 20-24) and shadows (25-33) on half the pings
-PLANT = """CASE WHEN ping % 10 < 6 AND col BETWEEN 20 AND 24 THEN v * 3 WHEN ping % 10 < 6 AND col BETWEEN 25 AND 33 THEN v * 0.2::DOUBLE ELSE v END"""
+# planted highlights (cols 42-46) and shadows (47-55) on half the pings
+PLANT = """CASE WHEN ping % 10 < 6 AND col BETWEEN 42 AND 46 THEN v * 3 WHEN ping % 10 < 6 AND col BETWEEN 47 AND 55 THEN v * 0.2::DOUBLE ELSE v END"""
 GROUND = f"gr AS MATERIALIZED (SELECT survey, side, ping, col, CASE WHEN (col + ping) % 17 <> 3 THEN {PLANT} END AS v FROM v_samples)"
 DETS = """dt AS (SELECT DISTINCT survey, side, ping AS p, concat(survey, side, ping) AS det_id FROM v_samples),
 sz AS (SELECT survey, max(ping) AS last FROM v_samples GROUP BY survey),
-dx AS (SELECT det_id, survey, side, p AS ping0, least(p + 5, last) AS ping1, 18 + p % 4 AS col0, 22 + p % 4 AS col1 FROM dt JOIN sz USING (survey))"""
+dx AS (SELECT det_id, survey, side, p AS ping0, least(p + 5, last) AS ping1, 40 + p % 4 AS col0, 44 + p % 4 AS col1 FROM dt JOIN sz USING (survey))"""
 RES = 0.5
 
 
 def ground(s):
     def v(x, i):
-        lit = (F.col("ping") % 10 < 6) & i.between(20, 24)
-        dark = (F.col("ping") % 10 < 6) & i.between(25, 33)
+        lit = (F.col("ping") % 10 < 6) & i.between(42, 46)
+        dark = (F.col("ping") % 10 < 6) & i.between(47, 55)
         y = F.when(lit, x * 3).when(dark, x * F.lit(0.2)).otherwise(x)
         return F.when((i + F.col("ping")) % 17 != 3, y)
     return traces(s).select(*KEYS, F.transform("samples", v).alias("cols"))
@@ -39,7 +39,7 @@ def dets(s):
     p = F.col("ping")
     return traces(s).select(
         F.concat("survey", "side", p.cast("string")).alias("det_id"), "survey", "side", p.alias("ping0"), (p + 5).alias("ping1"),
-        (18 + p % 4).alias("col0"), (22 + p % 4).alias("col1"), F.lit("container").alias("cls"),
+        (40 + p % 4).alias("col0"), (44 + p % 4).alias("col1"), F.lit("container").alias("cls"),
         (F.lit(0.5) + (p % 5) * F.lit(0.1)).alias("score"), F.lit("A").alias("brain"))
 
 
@@ -167,7 +167,7 @@ def x20(s):
 
 @query("w7_contact_ids", "v_samples", f"""
 WITH {DETS}, r AS (SELECT survey, det_id, row_number() OVER (PARTITION BY survey ORDER BY 50 + ping0 % 5 DESC, det_id) AS r FROM dx)
-SELECT det_id, concat('SN-20231114-', lpad(CAST(r AS STRING), greatest(4, length(CAST(r AS STRING))), '0')) AS id FROM r""")
+SELECT det_id, concat('SN-20231114-', lpad(CAST(r AS STRING), CAST(greatest(4, length(CAST(r AS STRING))) AS INT), '0')) AS id FROM r""")
 def w7(s):
     from pingframe.plans.contacts import contact_ids
     d = dets(s).withColumn("confidence_pct", 50.0 + F.col("ping0") % 5)
