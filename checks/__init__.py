@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ["q_contacts", "q_geo", "q_detections", "q_evaluation", "q_conditioning", "q_physics"]
+MODULES = ["q_contacts", "q_geo", "q_detections", "q_evaluation", "q_conditioning", "q_physics", "q_live"]
 
 
 def load_all() -> None:

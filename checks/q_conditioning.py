@@ -277,17 +277,15 @@ def a7_range(s):
                                   ((F.min("v") >= 0) & (F.max("v") <= 1)).alias("within"))
 
 
-ORIG = """o AS (SELECT unnest(list_distinct(list_concat(range(0, greatest({n} - {t}, 0) + 1, {st}), [greatest({n} - {t}, 0)]))) AS v)"""
+TILES = f"""{IMAGE}, sh AS (SELECT survey, side, max(ping) + 1 AS n FROM im GROUP BY ALL),
+ro AS (SELECT survey, side, n, unnest(list_distinct(list_concat(range(0, greatest(n - 20, 0) + 1, 15), [greatest(n - 20, 0)]))) AS row0 FROM sh),
+t AS (SELECT *, unnest(list_distinct(list_concat(range(0, 45, 15), [44]))) AS col0 FROM ro),
+c AS (SELECT t.survey, t.side, CAST(row0 AS INT) AS row0, CAST(col0 AS INT) AS col0, count(v) AS n_finite FROM t JOIN im ON im.survey = t.survey AND im.side = t.side AND ping >= row0 AND ping < row0 + 20
+  AND col >= col0 AND col < col0 + 20 GROUP BY ALL)"""
 
 
 @query("w19_tiles", "v_samples", f"""
-WITH {IMAGE}, sh AS (SELECT survey, side, max(ping) + 1 AS n FROM im GROUP BY ALL),
-ro AS (SELECT survey, side, n, unnest(list_distinct(list_concat(range(0, greatest(n - 20, 0) + 1, 15), [greatest(n - 20, 0)]))) AS row0 FROM sh),
-t AS (SELECT *, unnest(list_distinct(list_concat(range(0, 45, 15), [44]))) AS col0 FROM ro),
-c AS (SELECT t.survey, t.side, row0, col0, count(v) AS n_finite FROM t JOIN im ON im.survey = t.survey AND im.side = t.side AND ping >= row0 AND ping < row0 + 20
-  AND col >= col0 AND col < col0 + 20 GROUP BY ALL)
-SELECT survey, side, CAST(row0 AS INT) AS row0, CAST(col0 AS INT) AS col0, n_finite, CAST(row_number() OVER (PARTITION BY survey ORDER BY side, row0, col0) - 1 AS INT) AS tile_index
-FROM c WHERE n_finite >= 0.9 * 400""")
+WITH {TILES} SELECT *, CAST(row_number() OVER (PARTITION BY survey ORDER BY side, row0, col0) - 1 AS INT) AS tile_index FROM c WHERE n_finite >= 0.9 * 400""")
 def w19(s):
     return C.tiles_of(image(s), shape(s), 20, 0.25, 0.9).select("survey", "side", "row0", "col0", "n_finite", "tile_index")
 
@@ -296,25 +294,23 @@ def _tiles20(s):
     return C.tiles_of(image(s), shape(s), 20, 0.25, 0.0)
 
 
-@query("a12_tile_content", "v_samples", f"""
-WITH {IMAGE} SELECT survey, side, CAST(0 AS INT) AS row0, CAST(0 AS INT) AS col0, count(v) AS n_finite FROM im WHERE ping < 20 AND col < 20 GROUP BY survey, side""")
+@query("a12_tile_content", "v_samples", f"WITH {TILES} SELECT * FROM c")
 def a12(s):
-    t = C.tile_origins(shape(s), 20, 0.25).where("row0 = 0 AND col0 = 0")
-    return C.count_finite(image(s), t, 16).select("survey", "side", "row0", "col0", "n_finite")
+    return C.count_finite(image(s), C.tile_origins(shape(s), 20, 0.25), 16).select("survey", "side", "row0", "col0", "n_finite")
 
 
-@query("f12_content_filter", "v_samples", f"""
-WITH {IMAGE} SELECT survey, side, count(v) AS n_finite FROM im WHERE ping < 20 AND col < 20 GROUP BY survey, side HAVING count(v) > 0""")
+@query("f12_content_filter", "v_samples", f"WITH {TILES} SELECT survey, side, count(*) AS tiles FROM c WHERE n_finite > 0 AND n_finite >= 0.91 * 400 GROUP BY ALL")
 def f12(s):
-    return _tiles20(s).where("row0 = 0 AND col0 = 0").select("survey", "side", "n_finite")
+    return C.tiles_of(image(s), shape(s), 20, 0.25, 0.91).groupBy("survey", "side").agg(F.count("*").alias("tiles"))
 
 
 @query("j4_tile_pixels", "v_samples", f"""
-WITH {IMAGE} SELECT survey, side, ping AS r, round(sum(v), 5) AS total FROM im WHERE ping < 20 AND col < 20 GROUP BY ALL""")
+WITH {TILES} SELECT c.survey, c.side, row0, col0, CAST(ping - row0 AS INT) AS r, round(sum(v), 5) AS total FROM c JOIN im ON im.survey = c.survey AND im.side = c.side
+AND ping >= row0 AND ping < row0 + 20 AND col >= col0 AND col < col0 + 20 GROUP BY ALL""")
 def j4(s):
-    t = _tiles20(s).where("row0 = 0 AND col0 = 0")
-    rows = C.tile_rows(image(s), t, 16)
-    return rows.select("survey", "side", "r", F.round(F.aggregate("cols", F.lit(0.0), lambda a, x: a + F.coalesce(x, F.lit(0.0))), 5).alias("total"))
+    t = _tiles20(s)
+    rows = C.tile_rows(image(s), t, 16).join(t.select("survey", "tile_index", "row0", "col0"), ["survey", "tile_index"])
+    return rows.select("survey", "side", "row0", "col0", "r", F.round(F.aggregate("cols", F.lit(0.0), lambda a, x: a + F.coalesce(x, F.lit(0.0))), 5).alias("total"))
 
 
 @query("u2_tile_ids", "v_samples", "SELECT survey, count(DISTINCT side) AS sides, true AS dense FROM v_samples GROUP BY survey")

@@ -101,17 +101,17 @@ def f10(s):
 
 @query("f11_structure", "v_samples v_nav", """
 WITH t AS (SELECT survey, ping, count(*) FILTER (side = 'port') AS p, count(*) FILTER (side = 'starboard') AS s FROM
-  (SELECT DISTINCT survey, side, ping FROM v_samples WHERE NOT (side = 'port' AND ping % 13 = 5)) d GROUP BY ALL),
-n AS (SELECT survey, ping FROM v_nav WHERE ping % 17 <> 3)
+  (SELECT DISTINCT survey, side, ping FROM v_samples WHERE col = 0 AND (side = 'starboard' OR v >= 3.5)) d GROUP BY ALL),
+n AS (SELECT survey, ping FROM v_nav WHERE altitude IS NOT NULL)
 SELECT survey, ping, CASE WHEN n_nav = 0 THEN 'no nav record' WHEN p = 0 AND s = 0 THEN 'no traces'
   ELSE 'ping-count mismatch' END AS fault FROM (
   SELECT coalesce(t.survey, n.survey) AS survey, coalesce(t.ping, n.ping) AS ping, coalesce(p, 0) AS p, coalesce(s, 0) AS s,
     CASE WHEN n.survey IS NULL THEN 0 ELSE 1 END AS n_nav FROM t FULL JOIN n ON t.survey = n.survey AND t.ping = n.ping) q
 WHERE n_nav = 0 OR p <> s""")
 def f11(s):
-    traces = s.v_samples.select("survey", "side", "ping").distinct().where(
-        ~((F.col("side") == "port") & (F.col("ping") % 13 == 5)))
-    nav = s.v_nav.where(F.col("ping") % 17 != 3)
+    first = s.v_samples.where("col = 0")
+    traces = first.where((F.col("side") == "starboard") | (F.col("v") >= 3.5)).select("survey", "side", "ping")
+    nav = s.v_nav.where("altitude IS NOT NULL")
     return P.structural_faults(traces, nav).select("survey", "ping", "fault")
 
 

@@ -46,11 +46,11 @@ def x4(s):
 
 
 @query("x5_resolution_curve", "v_contacts", """
-WITH q AS (SELECT id, greatest(height_m, 0) AS a, depth_m + 10 AS s FROM v_contacts WHERE height_m IS NOT NULL AND violation),
+WITH q AS (SELECT id, greatest(height_m, 0) AS a, depth_m + 10 AS s FROM v_contacts WHERE height_m IS NOT NULL),
 g AS (SELECT id, i, a, sqrt(greatest(s * s - a * a, 0)) * i / 24 AS ground FROM q, generate_series(0, 24) t(i))
 SELECT id, CAST(i AS INT) AS step, round(ground, 4) AS ground_m, round(radians(0.5) * sqrt(ground * ground + a * a), 6) AS along_m FROM g""")
 def x5(s):
-    q = s.v_contacts.where("height_m IS NOT NULL AND violation")
+    q = s.v_contacts.where("height_m IS NOT NULL")
     a, sl = F.col("height_m"), F.col("depth_m") + 10
     mx = F.sqrt(F.greatest(sl * sl - a * a, F.lit(0.0)))
     rows = q.select("id", a.alias("a"), mx.alias("mx"), F.inline(X.resolution_curve("height_m", F.col("depth_m") + 10)))

@@ -234,7 +234,7 @@ def a14(s):
 
 @query("p4_classical_detector")
 def p4(s):
-    return PH.classical_detect(ground(s), grid(s), 2.0, 6, require_shadow=True)
+    return PH.classical_detect(ground(s), grid(s), 2.0, 3, open_radius=0, require_shadow=True, min_shadow=0.2)
 
 
 def labelled_features(s):
