@@ -24,7 +24,7 @@ def window_contacts(s):
     return ST.with_windows(c.withColumn("ping", F.col("ping0"))).drop("ping", "window_ping")
 
 
-@query("st1_windows", "v_contacts", f"WITH {WIN} SELECT id, CAST(win AS INT) AS "window", window_start, ping0 - window_start AS window_ping FROM w")
+@query("st1_windows", "v_contacts", f'WITH {WIN} SELECT id, CAST(win AS INT) AS "window", window_start, ping0 - window_start AS window_ping FROM w')
 def st1(s):
     w = ST.with_windows(s.v_contacts.select("id", F.col("ping0").alias("ping")))
     return w.select("id", "window", "window_start", "window_ping")
@@ -37,7 +37,7 @@ def w18(s):
     return n.select("survey", F.explode(ST.window_starts("n")).alias("start"))
 
 
-@query("st2_survey_pings", "v_contacts", f"WITH {WIN} SELECT id, CAST(win AS INT) AS "window", ping0, ping1 FROM w")
+@query("st2_survey_pings", "v_contacts", f'WITH {WIN} SELECT id, CAST(win AS INT) AS "window", ping0, ping1 FROM w')
 def st2(s):
     w = window_contacts(s).withColumns({c: F.col(c) - F.col("window_start") for c in ("ping0", "ping1")})
     return ST.to_survey_pings(w).select("id", "window", "ping0", "ping1")
