@@ -14,9 +14,9 @@ RES = "78125e-5"
 
 
 def traces(s):
-    """Ping rows straight from the vectors (one row per ping-side, no shuffle)."""
+    """Ping rows straight from the vectors (one row per ping-side; spread, as the table is one row group)."""
     from .views import read
-    e = read(s.spark, s.sf_dir, "embeddings")
+    e = read(s.spark, s.sf_dir, "embeddings").repartition(s.spark.sparkContext.defaultParallelism)
     vid = F.col("vec_id")
     v = F.transform("embedding", lambda x, i: F.when(i < 9 + vid % 4, 4.0 * (1.0 + x.cast("double"))).otherwise(
         (100.0 * (1.0 + 2.0 * x.cast("double"))) * (1.5 - i / 128.0)))

@@ -16,7 +16,7 @@ TILES = """tiles AS (SELECT r, c, CAST(r * 384 AS INT) AS row0, CAST(c * 192 AS
 
 
 def tiles(s):
-    grid = s.v_detections.select("survey", "side").distinct()
+    grid = s.wide("v_detections").select("survey", "side").distinct()
     grid = grid.withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(4)))).withColumn("c", F.explode(F.sequence(F.lit(0), F.lit(1))))
     return grid.select("survey", "side", (F.col("r") * 2 + F.col("c")).alias("tile_index"), (F.col("r") * 384).alias("row0"),
                        (F.col("c") * 192).alias("col0"), F.lit(512).alias("h"), F.lit(256).alias("w"))
@@ -30,7 +30,7 @@ g AS (SELECT det_id, row0, tcol0, greatest(least(floor(x1), 255), 0) AS c0, grea
 SELECT det_id, CAST(row0 + r0 AS INT) AS ping0, CAST(row0 + greatest(r1, r0) AS INT) AS ping1, CAST(tcol0 + c0 AS INT) AS col0,
   CAST(tcol0 + greatest(c1, c0) AS INT) AS col1 FROM g""")
 def j2(s):
-    d = s.v_detections.select(
+    d = s.wide("v_detections").select(
         "det_id", "survey", "side", ((F.col("ping0") % 5) * 2 + F.col("model") % 2).alias("tile_index"),
         (F.col("col0") * F.lit(0.7)).alias("x1"), (F.col("ping0") * F.lit(0.27)).alias("y1"),
         (F.col("col1") * F.lit(0.7)).alias("x2"), (F.col("ping1") * F.lit(0.27)).alias("y2"))
@@ -43,7 +43,7 @@ ON ping0 >= row0 AND ping0 < row0 + 512 AND col0 >= tcol0 AND col0 < tcol0 + 256
 def j3(s):
     from pingframe.operators.joins import range_join
     t = tiles(s).withColumnsRenamed({"col0": "tcol0"}).withColumn("row1", F.col("row0") + F.col("h") - 1)
-    j = range_join(s.v_detections, t, ["survey", "side"], "ping0", "row0", "row1")
+    j = range_join(s.wide("v_detections"), t, ["survey", "side"], "ping0", "row0", "row1")
     loc = B.global_to_tile("ping0", "col0", "row0", "tcol0", "h", "w")
     return j.withColumn("loc", loc).where("loc IS NOT NULL").select("det_id", F.col("tile_index").cast("bigint"), F.col("loc.r").alias("r"), F.col("loc.c").alias("c"))
 
@@ -53,7 +53,7 @@ SELECT a.det_id AS a_id, b.det_id AS b_id, round({iou()}, 9) AS iou FROM v_detec
 ON a.survey = b.survey AND a.side = b.side AND a.cls = b.cls AND a.det_id < b.det_id
 WHERE a.ping0 <= b.ping1 AND b.ping0 <= a.ping1 AND a.col0 <= b.col1 AND b.col0 <= a.col1 AND {iou()} >= 0.25""")
 def j6(s):
-    d = s.v_detections.select("det_id", "survey", "side", "cls", *B.BOX)
+    d = s.wide("v_detections").select("det_id", "survey", "side", "cls", *B.BOX)
     p = box_pairs(d, d, ["survey", "side", "cls"], 0.25, extra=F.col("l_det_id") < F.col("r_det_id"))
     return p.select(F.col("l_det_id").alias("a_id"), F.col("r_det_id").alias("b_id"), F.round("iou", 9).alias("iou"))
 
@@ -61,11 +61,11 @@ def j6(s):
 @query("w12_rank_in_class", "v_detections", """
 SELECT det_id, CAST(row_number() OVER (PARTITION BY survey, side, cls ORDER BY score DESC, det_id) AS INT) AS rank FROM v_detections""")
 def w12(s):
-    return D.rank_in_class(s.v_detections).select("det_id", "rank")
+    return D.rank_in_class(s.wide("v_detections")).select("det_id", "rank")
 
 
 def _abc(s):
-    d = s.v_detections
+    d = s.wide("v_detections")
     return d.where("brain = 'A'"), d.where("brain = 'C'"), d.where("brain = 'B'")
 
 
@@ -105,13 +105,13 @@ def u1(s):
 
 @query("g1_suppressed")
 def g1(s):
-    return D.merge_detections(s.v_detections, 0.4).select("det_id", "score")
+    return D.merge_detections(s.wide("v_detections"), 0.4).select("det_id", "score")
 
 
 @query("g1_no_overlap_left", "v_detections", "SELECT det_id AS a_id, det_id AS b_id FROM v_detections WHERE 1 = 0")
 def g1_check(s):
     keys = ["survey", "side", "cls"]
-    kept = D.greedy_keep(s.v_detections, keys, 0.4)
+    kept = D.greedy_keep(s.wide("v_detections"), keys, 0.4)
     bad = D.suppression_violations(kept.select("det_id", *keys, *B.BOX), keys, 0.4)
     return bad.select(F.col("l_det_id").alias("a_id"), F.col("r_det_id").alias("b_id"))
 
@@ -120,7 +120,7 @@ def g1_check(s):
 def g1_explained(s):
     """kept + dropped-by-a-stronger-kept covers the input."""
     keys = ["survey", "side", "cls"]
-    d = s.v_detections
+    d = s.wide("v_detections")
     kept = D.greedy_keep(d, keys, 0.4)
     p = box_pairs(d.select("det_id", "score", *keys, *B.BOX), kept.select("det_id", "score", *keys, *B.BOX), keys, 0.4)
     stronger = (F.col("r_score") > F.col("l_score")) | ((F.col("r_score") == F.col("l_score")) & (F.col("r_det_id") <= F.col("l_det_id")))
@@ -129,13 +129,13 @@ def g1_explained(s):
 
 @query("g2_fused_ensemble")
 def g2(s):
-    return D.fuse_ensemble(s.v_detections, 7, 0.55, 2).select("det_id", *B.BOX, "score", "n_models")
+    return D.fuse_ensemble(s.wide("v_detections"), 7, 0.55, 2).select("det_id", *B.BOX, "score", "n_models")
 
 
 @query("a37_ensemble_members", "v_detections", "SELECT count(*) AS members, round(sum(score), 4) AS total FROM v_detections")
 def a37(s):
     """Every detection belongs to exactly one cluster."""
-    f = D.fuse_ensemble(s.v_detections.withColumn("score", F.col("score") / 100), 7, 0.55)
+    f = D.fuse_ensemble(s.wide("v_detections").withColumn("score", F.col("score") / 100), 7, 0.55)
     return f.agg(F.sum("n_members").alias("members"), F.round(F.sum("score") * 700, 4).alias("total"))
 
 

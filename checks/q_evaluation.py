@@ -17,7 +17,7 @@ tc AS (SELECT survey AS config, count(*) AS n_truth, count(*) / CAST(1000 AS DOU
 
 
 def labels(s):
-    d = E.any_match(s.v_detections, s.v_truth, 0.1)
+    d = E.any_match(s.wide("v_detections"), s.v_truth, 0.1)
     lab = d.select(F.col("survey").alias("config"), "det_id", F.bround(F.col("score") * 100, 1).alias("confidence"),
                    F.col("correct").alias("is_tp"))
     tc = s.v_truth.groupBy(F.col("survey").alias("config")).agg(
@@ -27,21 +27,21 @@ def labels(s):
 
 @query("j10_match_candidates", "v_detections v_truth", f"WITH {CAND} SELECT det_id, truth_id, round(iou, 9) AS iou FROM cand")
 def j10(s):
-    return E.match_candidates(s.v_detections, s.v_truth, 0.1).select("det_id", "truth_id", F.round("iou", 9).alias("iou"))
+    return E.match_candidates(s.wide("v_detections"), s.v_truth, 0.1).select("det_id", "truth_id", F.round("iou", 9).alias("iou"))
 
 
 @query("j11_any_match", "v_detections v_truth", f"""
 WITH {CAND} SELECT det_id, det_id IN (SELECT det_id FROM cand) AS correct FROM v_detections""")
 def j11(s):
-    return E.any_match(s.v_detections, s.v_truth, 0.1).select("det_id", "correct")
+    return E.any_match(s.wide("v_detections"), s.v_truth, 0.1).select("det_id", "correct")
 
 
 def _ablated(s):
     score = F.col("score")
-    rows = E.ablation(s.v_detections, {
+    rows = E.ablation(s.wide("v_detections"), {
         "raw": S.confidence_pct("score", 1.0), "gate": S.confidence_pct("score", F.when(F.col("model") > 3, 0.5).otherwise(1.15)),
         "verifier": F.bround(score * 80, 1), "full": S.confidence_pct("score", F.when(F.col("model") > 4, 0.3).otherwise(1.0))})
-    return E.match_greedy(rows, E.match_candidates(s.v_detections, s.v_truth, 0.1))
+    return E.match_greedy(rows, E.match_candidates(s.wide("v_detections"), s.v_truth, 0.1))
 
 
 @query("g5_greedy_matching")
@@ -63,7 +63,7 @@ def g5_check(s):
 SELECT config, count(*) AS n, round(sum(CASE config WHEN 'raw' THEN score ELSE score / 2 END), 4) AS total FROM v_detections
 JOIN (SELECT unnest(['raw', 'half']) AS config) c ON true GROUP BY config""")
 def u5(s):
-    r = E.ablation(s.v_detections, {"raw": F.col("score"), "half": F.col("score") / 2})
+    r = E.ablation(s.wide("v_detections"), {"raw": F.col("score"), "half": F.col("score") / 2})
     return r.groupBy("config").agg(F.count("*").alias("n"), F.round(F.sum("confidence"), 4).alias("total"))
 
 
@@ -105,7 +105,7 @@ e AS (SELECT variant, max(f1) FILTER (k BETWEEN 2 AND 6) AS interior, max(f1) FI
 SELECT variant, k, f1, round(cut, 6) AS cut, CASE WHEN k NOT IN (1, 7) THEN NULL WHEN endpoint - interior <= 0.02 THEN 'plateau' ELSE 'widen the grid' END AS note
 FROM (SELECT *, row_number() OVER (PARTITION BY variant ORDER BY f1 DESC, k) AS r FROM c) q JOIN e USING (variant) WHERE r = 1""")
 def a28(s):
-    curve = s.v_detections.groupBy(F.col("cls").alias("variant"), F.col("model").cast("double").alias("k")).agg(
+    curve = s.wide("v_detections").groupBy(F.col("cls").alias("variant"), F.col("model").cast("double").alias("k")).agg(
         F.round(F.avg("score"), 6).alias("f1"), F.max("score").alias("cut"))
     return E.select_setting(curve).withColumn("cut", F.round("cut", 6))
 
@@ -115,7 +115,7 @@ WITH {CAND}, d AS (SELECT det_id, side AS mode, model AS rank, score * 100 AS co
 SELECT mode, level, count(*) FILTER (confidence >= 60 AND is_tp) AS tp, count(*) FILTER (confidence >= 60 AND NOT is_tp) AS fp
 FROM d JOIN (SELECT unnest([0, 2, 4, 7]) AS level) l ON rank <= level GROUP BY ALL""")
 def a29(s):
-    d = E.any_match(s.v_detections, s.v_truth, 0.1).select(
+    d = E.any_match(s.wide("v_detections"), s.v_truth, 0.1).select(
         "det_id", F.col("side").alias("mode"), F.col("model").alias("decoy_rank"), (F.col("score") * 100).alias("confidence"),
         F.col("correct").alias("is_tp"))
     tc = s.v_truth.groupBy(F.col("side").alias("mode")).agg(F.count("*").alias("n_truth")).withColumn("area_km2", F.lit(1.0))
@@ -169,7 +169,7 @@ def x15(s):
     from pingframe.functions.columns import clamp
     raw = 100.0 * clamp(S.calibrated("score") * 1.15, 0.0, 1.0)
     same = F.abs(S.confidence_pct("score", 1.15) - raw) <= 0.0501
-    return s.v_detections.select("det_id", F.when(same, F.round(raw, 4)).alias("pct"))
+    return s.wide("v_detections").select("det_id", F.when(same, F.round(raw, 4)).alias("pct"))
 
 
 IMG = """img AS (SELECT *, survey AS image, CASE WHEN model = 7 THEN 'unknown_anomaly' WHEN model = 6 THEN 'wreck' ELSE cls END AS c2, score * 100 AS confidence FROM v_detections)"""
@@ -177,7 +177,7 @@ IMG = """img AS (SELECT *, survey AS image, CASE WHEN model = 7 THEN 'unknown_an
 
 def img(s):
     c2 = F.when(F.col("model") == 7, "unknown_anomaly").when(F.col("model") == 6, "wreck").otherwise(F.col("cls"))
-    return s.v_detections.withColumns({"image": F.col("survey"), "confidence": F.col("score") * 100}).withColumn("cls", c2)
+    return s.wide("v_detections").withColumns({"image": F.col("survey"), "confidence": F.col("score") * 100}).withColumn("cls", c2)
 
 
 @query("a30_image_behaviour", "v_detections", f"""
@@ -225,7 +225,7 @@ def a32(s):
 WITH p AS (SELECT cls AS source, side AS split, count(*) AS n FROM v_detections GROUP BY ALL)
 SELECT source, split, n, round(100 * n / (sum(n) OVER (PARTITION BY split))::DOUBLE, 6) AS share_pct FROM p""")
 def a34(s):
-    return E.composition(s.v_detections.select(F.col("cls").alias("source"), F.col("side").alias("split"))).withColumn("share_pct", F.round("share_pct", 6))
+    return E.composition(s.wide("v_detections").select(F.col("cls").alias("source"), F.col("side").alias("split"))).withColumn("share_pct", F.round("share_pct", 6))
 
 
 @query("a38_error_fractions", "v_samples", """
