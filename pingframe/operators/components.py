@@ -8,24 +8,26 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
+from .scale import salted_join
 
 
 def connected_components(nodes: DataFrame, edges: DataFrame, node: str = "node") -> DataFrame:
     """Label every node with the smallest node of its component.
 
-    Each round points every node of the (contracted) graph at its smallest
-    neighbour, shortens the pointers, and re-labels the edges; edges inside a
-    component vanish and copies fold, so the edge table shrinks geometrically.
-    Minimums combine map-side, so a hub of any degree costs one row per task.
+    Each round points every node of the (contracted) graph at the neighbour with
+    the smallest hash of the round, shortens the pointers, and re-labels the
+    edges.  The hash order is new in every round, so long ordered chains shrink
+    geometrically too; edges inside a component vanish and copies fold.  Minimums
+    combine map-side, so a hub of any degree costs one row per task.
     """
-    e = (edges.select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b"))
-         .where("a <> b").distinct())
-    e = cut_lineage(e)
+    e = cut_lineage(edges.select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b"))
+                    .where("a <> b").distinct())
     maps: list[DataFrame] = []
     while not e.isEmpty():
-        parent = (e.select(F.col("b").alias("x"), F.col("a").alias("p"))
-                  .unionByName(e.select(F.col("a").alias("x"), F.col("a").alias("p")))
-                  .groupBy("x").agg(F.min("p").alias("p")))
+        both = e.select(F.explode(F.array(F.struct(F.col("a").alias("x"), F.col("b").alias("y")), F.struct(F.col("b").alias("x"), F.col("a").alias("y")),
+                                          F.struct(F.col("a").alias("x"), F.col("a").alias("y")), F.struct(F.col("b").alias("x"), F.col("b").alias("y")))).alias("s"))
+        order = F.struct(F.xxhash64(F.lit(len(maps)), F.col("s.y")).alias("h"), F.col("s.y").alias("y"))
+        parent = both.groupBy(F.col("s.x").alias("x")).agg(F.min(order).alias("m")).select("x", F.col("m.y").alias("p"))
         for _ in range(2):                                   # pointer jumping
             up = parent.select(F.col("x").alias("p"), F.col("p").alias("pp"))
             parent = parent.join(up, "p", "left").select("x", F.coalesce("pp", "p").alias("p"))
@@ -35,20 +37,17 @@ def connected_components(nodes: DataFrame, edges: DataFrame, node: str = "node")
         pb = parent.select(F.col("x").alias("b"), F.col("p").alias("nb"))
         e = cut_lineage(e.join(pa, "a").join(pb, "b").where("na <> nb")
                         .select(F.least("na", "nb").alias("a"), F.greatest("na", "nb").alias("b")).distinct())
-    label = None
-    for m in reversed(maps):
-        m = m.select("x", "p")
-        if label is None:
-            label = m
-        else:
-            up = label.select(F.col("x").alias("p"), F.col("p").alias("root"))
-            here = m.join(up, "p", "left").select("x", F.coalesce("root", "p").alias("p"))
-            label = here
     base = nodes.select(node)
-    if label is None:
+    if not maps:
         return base.withColumn("label", F.col(node))
-    return (base.join(label.select(F.col("x").alias(node), F.col("p").alias("_l")), node, "left")
-            .select(node, F.coalesce("_l", node).alias("label")))
+    label = maps[-1].select("x", "p")
+    for m in reversed(maps[:-1]):
+        up = label.select(F.col("x").alias("p"), F.col("p").alias("root"))
+        label = m.select("x", "p").join(up, "p", "left").select("x", F.coalesce("root", "p").alias("p"))
+    comp = cut_lineage(base.join(label.select(F.col("x").alias(node), F.col("p").alias("_l")), node, "left")
+                       .select(node, F.coalesce("_l", node).alias("_root")))
+    least = comp.groupBy("_root").agg(F.min(node).alias("label"))
+    return salted_join(comp, least, ["_root"], node).select(node, "label")
 
 
 def runs_of(flags: Column) -> Column:

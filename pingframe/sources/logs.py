@@ -186,12 +186,12 @@ def ingest_son(files: DataFrame, pixel_size_m: float = 0.02, sound_velocity: flo
     good = recs.where("error IS NULL").join(head.where("error IS NULL").select("rec", "unix_time", F.col("path").alias("dat")), "rec")
     good = good.withColumn("survey", _survey("dat"))
     # both beams must have the record: the longer beam is cut to the shorter
-    counts = good.groupBy("survey", "side").agg(F.count(F.lit(1)).alias("n")).groupBy("survey").agg(F.min("n").alias("n"), F.count(F.lit(1)).alias("sides"))
-    good = salted_join(good, counts.where("sides = 2").select("survey", "n"), ["survey"], "record").where(F.col("record") < F.col("n"))
+    counts = good.groupBy("survey", "side").agg(F.count(F.lit(1)).alias("n")).groupBy("survey").agg(F.min("n").alias("_cut"), F.count(F.lit(1)).alias("sides"))
+    good = salted_join(good, counts.where("sides = 2").select("survey", "_cut"), ["survey"], "record").where(F.col("record") < F.col("_cut"))
     good = good.withColumn("ping", F.col("record"))
     traces = padded(good.select("survey", "side", "ping", "samples"))
-    pos = G.dat_mercator_to_lonlat("e", "n_")
-    p = good.where("side = 'port'").drop("n").join(recs.select("path", "record", F.col("n").alias("n_")), ["path", "record"])
+    pos = G.dat_mercator_to_lonlat("e", "n")
+    p = good.where("side = 'port'")
     nav = p.select(
         "survey", "ping", (F.col("unix_time") + F.col("time_ms") / 1000.0).alias("time"), pos["lat"].alias("lat"), pos["lon"].alias("lon"),
         (F.col("heading_ddeg") / 10.0).alias("heading"), (F.col("depth_cm") / 100.0).alias("altitude"), F.lit(0.0).alias("sensor_depth"),
