@@ -10,7 +10,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import half_even
@@ -261,6 +261,8 @@ def near_layer(contacts: DataFrame, segments: DataFrame, layer: str, radius_m: f
 
 
 def square_segments(squares: DataFrame) -> DataFrame:
-    """Segment columns completed for tables that only hold plain outer rings."""
-    return squares.withColumns({"is_area": F.lit(True), "outer": F.lit(True),
-                                "ord": F.dense_rank().over(Window.orderBy("layer"))})
+    """Segment columns completed for tables that only hold plain outer rings; layers in name order."""
+    names = squares.agg(F.array_sort(F.collect_set("layer")).alias("_names")).withColumn("_k", F.lit(1))     # layer names only
+    return (squares.withColumn("_k", F.lit(1)).join(names, "_k")
+            .withColumns({"is_area": F.lit(True), "outer": F.lit(True), "ord": F.array_position("_names", F.col("layer")).cast("int")})
+            .drop("_k", "_names"))
