@@ -261,8 +261,11 @@ def training_windows(texts: list[str], windows: int = TRAIN_WINDOWS, seed: int =
 
 def train(docs: DataFrame, text: str = "text", rows: int = TRAIN_DOCS, windows: int = TRAIN_WINDOWS, passes: int = PASSES) -> Tagger | None:
     """Train on the spans that the patterns label in a bounded sample of documents; None if it holds no span."""
-    some = (docs.where(F.col(text).rlike("[0-9@]")).select(F.xxhash64(text).alias("h"), F.substring(text, 1, 1 << 16).alias("t"))
-            .orderBy("h", "t").limit(rows).collect())                  # TRAIN_DOCS texts; of a very long one the model learns from the start
+    with_trigger = docs.where(F.col(text).rlike("[0-9@]")).select(F.xxhash64(text).alias("h"), F.col(text).alias("t"))
+    cut = with_trigger.select("h").distinct().orderBy("h").limit(rows).agg(F.max("h")).first()[0]          # hashes are chosen before texts move
+    if cut is None:
+        return None
+    some = with_trigger.where(F.col("h") <= cut).select("h", F.substring("t", 1, 1 << 16).alias("t")).distinct().orderBy("h", "t").limit(rows).collect()   # TRAIN_DOCS; of a very long text the model learns from the start
     x, y = training_windows([r["t"] for r in some], windows)
     return Tagger().fit(x, y, passes) if y.any() else None
 
