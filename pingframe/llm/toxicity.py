@@ -163,9 +163,9 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
 
     if not kept:
         return Model({}, float(np.log(ones / zeros)))
-    data = map_arrow(sample, present, "g array<int>, y int").toPandas()           # SAMPLE_ROWS rows of n-grams that the model knows
-    order = sorted(range(len(data)), key=lambda i: (len(data["g"][i]), data["g"][i].tolist(), data["y"][i]))
-    w, bias = fit_linear([data["g"][i].tolist() for i in order], (data["y"].to_numpy()[order] > 0).astype(float), scale)
+    data = map_arrow(sample, present, "g array<int>, y int").toArrow()           # SAMPLE_ROWS rows of n-grams that the model knows
+    examples = sorted(zip(data["g"].to_pylist(), data["y"].to_pylist()))          # the same order whatever the partitions
+    w, bias = fit_linear([g for g, _ in examples], np.array([y > 0 for _, y in examples], float), scale)
     return Model({g: float(w[i] * scale[i]) for g, i in place.items() if w[i] != 0}, float(bias))
 
 
