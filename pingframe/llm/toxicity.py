@@ -105,10 +105,10 @@ def _counts(sample: DataFrame) -> DataFrame:
     return sample.mapInArrow(count, "gram string, ones long, zeros long").groupBy("gram").agg(F.sum("ones").alias("ones"), F.sum("zeros").alias("zeros"))
 
 
-def fit_linear(rows: list[list[int]], y: np.ndarray, scale: np.ndarray, ridge: float = RIDGE, steps: int = 200) -> tuple[np.ndarray, float]:
-    """Logistic regression on features of value scale[g] for g in a row, by accelerated gradient steps; (coefficients, bias)."""
-    ids = np.fromiter((g for r in rows for g in r), np.int64)
-    of = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+def fit_linear(ids: np.ndarray, lengths: np.ndarray, y: np.ndarray, scale: np.ndarray, ridge: float = RIDGE, steps: int = 200) -> tuple[np.ndarray, float]:
+    """Logistic regression on features of value scale[g] for g in a row, rows' features one after the other, by accelerated gradient steps; (coefficients, bias)."""
+    rows = lengths
+    of = np.repeat(np.arange(len(lengths)), lengths)
     n, x = len(scale), scale[ids]
     w, bias = np.zeros(n), float(np.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5)))
     v, vb, momentum = w.copy(), bias, 1.0
@@ -158,14 +158,17 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
 
     def present(batch: pa.RecordBatch) -> pa.RecordBatch:
         scorer = _Scorer(grams)
-        rows_ = [sorted(place[g] for g in scorer.active(words_of(t))) for t in batch.column(0).to_pylist()]
-        return pa.RecordBatch.from_arrays([pa.array(rows_, pa.list_(pa.int32())), batch.column(1)], ["g", "y"])
+        rows_ = [np.array(sorted(place[g] for g in scorer.active(words_of(t))), np.int32).tobytes() for t in batch.column(0).to_pylist()]
+        return pa.RecordBatch.from_arrays([pa.array(rows_, pa.binary()), batch.column(1), batch.column(2)], ["g", "y", "h"])
 
     if not kept:
         return Model({}, float(np.log(ones / zeros)))
-    data = map_arrow(sample, present, "g array<int>, y int").toArrow()           # SAMPLE_ROWS rows of n-grams that the model knows
-    examples = sorted(zip(data["g"].to_pylist(), data["y"].to_pylist()))          # the same order whatever the partitions
-    w, bias = fit_linear([g for g, _ in examples], np.array([y > 0 for _, y in examples], float), scale)
+    # SAMPLE_ROWS rows of the n-grams that the model knows, four bytes each; in one order whatever the partitions
+    data = map_arrow(sample.select("text", "y", F.xxhash64("text", "y").alias("h")), present, "g binary, y int, h long").toArrow().combine_chunks()
+    order = np.argsort(data["h"].to_numpy(), kind="stable")
+    packed = data["g"].take(pa.array(order)).to_pylist()
+    lengths = np.array([len(g) // 4 for g in packed])
+    w, bias = fit_linear(np.frombuffer(b"".join(packed), np.int32), lengths, (data["y"].to_numpy()[order] > 0).astype(float), scale)
     return Model({g: float(w[i] * scale[i]) for g, i in place.items() if w[i] != 0}, float(bias))
 
 
