@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .scale import latest
 
@@ -55,11 +56,20 @@ def replace_surveys(path: str, contacts: DataFrame) -> None:
     (contacts.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("survey").parquet(path))
 
 
-def upsert_contacts(path: str, batch: DataFrame, touched: Column | None = None) -> None:
+def read_contacts(spark: SparkSession, path: str) -> DataFrame:
+    """The survey-partitioned table with `survey` as text: a survey named 007 is not the number 7."""
+    found = spark.read.parquet(path).schema
+    schema = T.StructType([T.StructField(f.name, T.StringType() if f.name == "survey" else f.dataType) for f in found])
+    return spark.read.schema(schema).parquet(path)
+
+
+def upsert_contacts(path: str, batch: DataFrame) -> None:
     """Upsert into a survey-partitioned table, rewriting only the partitions the batch touches.
 
-    The new version is written beside the table first, so a lost executor never
-    leaves a half-written partition as the only copy.
+    Touched are the surveys of the batch and those that hold one of its ids now:
+    an id that moves leaves its old survey.  The new version is written beside
+    the table first, so a lost executor never leaves a half-written partition as
+    the only copy.
     """
     from ..session import cut_lineage
     spark = batch.sparkSession
@@ -68,17 +78,21 @@ def upsert_contacts(path: str, batch: DataFrame, touched: Column | None = None)
     if not exists:
         replace_surveys(path, latest(batch, ["id"], ["seq"]))
         return
-    surveys = batch.select("survey").distinct()
-    current = spark.read.parquet(path).join(F.broadcast(surveys) if surveys.count() <= 10_000 else surveys,
-                                            "survey", "left_semi")
+    table = read_contacts(spark, path)
+    held = table.join(batch.select("id").distinct(), "id", "left_semi").select("survey")
+    surveys = cut_lineage(batch.select(F.col("survey").cast("string").alias("survey")).union(held).distinct())
+    current = table.join(surveys, "survey", "left_semi")
     merged = cut_lineage(upserted(current, batch).select(*current.columns))
     replace_surveys(path, merged)
+    for row in surveys.join(merged.select("survey").distinct(), "survey", "left_anti").toLocalIterator():
+        delete_survey(path, row["survey"])          # its last contact has moved
 
 
 def delete_survey(path: str, survey: str) -> None:
-    """Drop one survey's partition folder from the table."""
-    spark_path = f"{path}/survey={survey}"
-    from pyspark.sql import SparkSession
+    """Drop one survey's partition folder from the table, under the name that the writer gave it; a failed delete raises."""
     spark = SparkSession.getActiveSession()
-    target = spark._jvm.org.apache.hadoop.fs.Path(spark_path)
-    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+    escaped = spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName(survey)
+    target = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/survey={escaped}")
+    fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    if fs.exists(target) and not fs.delete(target, True):
+        raise OSError(f"could not delete {target}")
