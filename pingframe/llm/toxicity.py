@@ -27,6 +27,8 @@ SMOOTH = 1.0
 RIDGE = 1.0
 #: Words whose n-grams a task remembers.
 MEMO = 300_000
+#: Features of training rows that the fit unpacks at a time.
+BLOCK = 1 << 18
 
 _WORD = re.compile(r"[^\W_]+")
 
@@ -106,22 +108,42 @@ def _counts(sample: DataFrame) -> DataFrame:
 
 
 def fit_linear(ids: np.ndarray, lengths: np.ndarray, y: np.ndarray, scale: np.ndarray, ridge: float = RIDGE, steps: int = 200) -> tuple[np.ndarray, float]:
-    """Logistic regression on features of value scale[g] for g in a row, rows' features one after the other, by accelerated gradient steps; (coefficients, bias)."""
-    rows = lengths
-    of = np.repeat(np.arange(len(lengths)), lengths)
-    n, x = len(scale), scale[ids]
+    """Logistic regression on features of value scale[g] for g in a row, rows' features one after the other, by accelerated gradient steps; (coefficients, bias).
+
+    Rows are worked on some at a time, so that beside the packed features only
+    arrays of about BLOCK values are held.
+    """
+    n, starts = len(scale), np.r_[0, np.cumsum(lengths)]
+    cuts = np.unique(np.r_[0, np.searchsorted(starts[1:], np.arange(BLOCK, starts[-1], BLOCK), "right"), len(lengths)])
+    spans = list(zip(cuts[:-1].tolist(), cuts[1:].tolist()))
+
+    def sums(values: np.ndarray) -> np.ndarray:
+        """Of each row, the sum of its features' values."""
+        out = np.zeros(len(lengths))
+        for lo, hi in spans:
+            some = lo + np.flatnonzero(lengths[lo:hi])
+            if len(some):
+                out[some] = np.add.reduceat(values[ids[starts[lo]:starts[hi]]], starts[some] - starts[lo])
+        return out
+
+    def spread(values: np.ndarray) -> np.ndarray:
+        """Of each feature, the sum of the values of its rows."""
+        out = np.zeros(n)
+        for lo, hi in spans:
+            out += np.bincount(ids[starts[lo]:starts[hi]], np.repeat(values[lo:hi], lengths[lo:hi]), n)
+        return out
+
     w, bias = np.zeros(n), float(np.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5)))
     v, vb, momentum = w.copy(), bias, 1.0
     u, top = np.ones(n), 1.0
     for _ in range(20):                                                     # largest curvature, by power steps
-        u = np.bincount(ids, x * np.bincount(of, x * u[ids], len(rows))[of], n)
+        u = scale * spread(sums(scale * u))
         top = float(np.linalg.norm(u)) or 1.0
         u /= top
     pace = 1.0 / (0.25 * (top + len(y)) + ridge)
     for _ in range(steps):
-        z = vb + np.bincount(of, x * v[ids], len(rows))
-        slip = 1 / (1 + np.exp(-np.clip(z, -30, 30))) - y
-        w_new = v - pace * (np.bincount(ids, x * slip[of], n) + ridge * v)
+        slip = 1 / (1 + np.exp(-np.clip(vb + sums(scale * v), -30, 30))) - y
+        w_new = v - pace * (scale * spread(slip) + ridge * v)
         b_new = vb - pace * slip.sum()
         m_new = (1 + (1 + 4 * momentum ** 2) ** 0.5) / 2
         v, vb = w_new + (momentum - 1) / m_new * (w_new - w), b_new + (momentum - 1) / m_new * (b_new - bias)
@@ -155,20 +177,21 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     place = {r["gram"]: i for i, r in enumerate(kept)}
     scale = np.array([r["r"] for r in kept])
     grams = {g: 0.0 for g in place}
+    kind = np.dtype(np.uint16 if len(kept) <= 1 << 16 else np.uint32)
 
     def present(batch: pa.RecordBatch) -> pa.RecordBatch:
         scorer = _Scorer(grams)
-        rows_ = [np.array(sorted(place[g] for g in scorer.active(words_of(t))), np.int32).tobytes() for t in batch.column(0).to_pylist()]
+        rows_ = [np.array(sorted(place[g] for g in scorer.active(words_of(t))), kind).tobytes() for t in batch.column(0).to_pylist()]
         return pa.RecordBatch.from_arrays([pa.array(rows_, pa.binary()), batch.column(1), batch.column(2)], ["g", "y", "h"])
 
     if not kept:
         return Model({}, float(np.log(ones / zeros)))
-    # SAMPLE_ROWS rows of the n-grams that the model knows, four bytes each; in one order whatever the partitions
+    # SAMPLE_ROWS rows of the n-grams that the model knows, two bytes each; in one order whatever the partitions
     data = map_arrow(sample.select("text", "y", F.xxhash64("text", "y").alias("h")), present, "g binary, y int, h long").toArrow().combine_chunks()
     order = np.argsort(data["h"].to_numpy(), kind="stable")
     packed = data["g"].take(pa.array(order)).to_pylist()
-    lengths = np.array([len(g) // 4 for g in packed])
-    w, bias = fit_linear(np.frombuffer(b"".join(packed), np.int32), lengths, (data["y"].to_numpy()[order] > 0).astype(float), scale)
+    lengths = np.array([len(g) // kind.itemsize for g in packed])
+    w, bias = fit_linear(np.frombuffer(b"".join(packed), kind), lengths, (data["y"].to_numpy()[order] > 0).astype(float), scale)
     return Model({g: float(w[i] * scale[i]) for g, i in place.items() if w[i] != 0}, float(bias))
 
 
