@@ -78,11 +78,14 @@ def labelled(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
     """(text, label) of a bounded training sample: rows whose crc32(id as text) mod `folds` is not 0, smallest hash of the id first.
 
     An id labelled twice counts once, with its larger label; ids or labels that
-    are null do not count.  A document that occurs twice is read twice.
+    are null do not count.  A document that occurs more than once is read once,
+    with its smallest text, so that the sample is bounded however often an id is
+    repeated.
     """
     ids = (labels.where(F.col(key).isNotNull() & F.col(label).isNotNull() & (crc32_of_id(F.col(key)) % folds != 0))
            .groupBy(F.col(key).alias("_id")).agg(F.max(label).cast("int").alias("y")).orderBy(F.xxhash64("_id"), "_id").limit(rows))
-    return docs.select(F.col(key).alias("_id"), F.col(text).alias("text")).join(F.broadcast(ids), "_id").select("text", "y")   # SAMPLE_ROWS ids
+    return (docs.select(F.col(key).alias("_id"), F.col(text).alias("text")).join(F.broadcast(ids), "_id")                     # SAMPLE_ROWS ids
+            .groupBy("_id").agg(F.min("text").alias("text"), F.max("y").alias("y")).select("text", "y"))
 
 
 def _counts(sample: DataFrame) -> DataFrame:
