@@ -15,10 +15,10 @@ from ..functions.geodesy import WGS84_A, WGS84_E2, MEAN_R, arc_from_chord, ecef,
 from ..functions.scoring import confirmed_confidence, unconfirmed_confidence
 from ..session import cut_lineage
 from .components import connected_components
-from .joins import crowding, nearest_within, radius_pairs
-from .scale import largest_group, ranked, running_sums
+from .joins import nearest_within, radius_pairs
+from .scale import ranked, running_sums
 
-ZONE_MEMBERS = 5_000        # contacts a tour task may hold; larger zones are split spatially
+ZONE_MEMBERS = 5_000        # stops of a strip: larger tours are visited strip by strip
 
 
 # ---- single-linkage zones ----------------------------------------------------
@@ -203,46 +203,73 @@ def tour(lat: np.ndarray, lon: np.ndarray, rounds: int = 8) -> np.ndarray:
     return order
 
 
-def zone_tours(contacts: DataFrame, by: tuple[str, ...] = ("survey", "zone"), start: tuple[float, float] | None = None,
-               limit: int = ZONE_MEMBERS) -> DataFrame:
-    """Visit order per group: adds `seq` (1-based), `leg_m` (from the previous stop) and `part`.
+def _strips(df: DataFrame, keys: list[str], stops: int) -> DataFrame:
+    """Adds `part`: strips of `stops` neighbouring contacts per group, by latitude, longitude and id; the last may be shorter."""
+    strip = ranked(df, keys, [F.asc("lat"), F.asc("lon"), F.asc("id")], "_r")
+    return strip.withColumn("part", F.floor((F.col("_r") - 1) / stops).cast("int")).drop("_r")
+
+
+def _legs(lat: np.ndarray, lon: np.ndarray, before: tuple[float, float] | None) -> np.ndarray:
+    """Leg to each stop from the one before it; the first from `before`, NaN without one."""
+    p = _ecef_np(lat, lon)
+    first = np.nan if before is None else _arc(np.linalg.norm(p[0] - _ecef_np(*before)))
+    return np.r_[first, _arc(np.linalg.norm(np.diff(p, axis=0), axis=1))]
+
+
+def _stitched(stops: DataFrame, keys: list[str]) -> DataFrame:
+    """Fills the legs that a strip's task could not know: from the stop before it in `seq`, wherever that was toured."""
+    stops = cut_lineage(stops.withColumn("leg_m", F.when(~F.isnan("leg_m"), F.col("leg_m"))))
+    open_ = F.col("leg_m").isNull() & (F.col("seq") > 1)
+    before = stops.select(*keys, (F.col("seq") + 1).alias("seq"), F.col("lat").alias("_plat"), F.col("lon").alias("_plon"))
+    joined = (stops.where(open_).join(before, [*keys, "seq"])
+              .withColumn("leg_m", short_distance_m("_plat", "_plon", "lat", "lon")).select(*stops.columns))
+    return stops.where(~open_).unionByName(joined)
+
 
-    A group above `limit` contacts is cut into strips of neighbouring contacts
-    (`part`), each toured in its own task, visited in strip order.
+def zone_tours(contacts: DataFrame, by: tuple[str, ...] = ("survey", "zone"), start: tuple[float, float] | None = None,
+               stops: int = ZONE_MEMBERS) -> DataFrame:
+    """Visit order per group: adds `seq` (1-based, dense per group), `leg_m` (from the previous stop) and `part`.
+
+    One rule for every size: a group is visited in strips of `stops` contacts
+    (`part`), each toured in its own task.  The first strip starts at `start`, or
+    else at its most severe contact; the others start at their first contact in
+    strip order, and the leg that leads there comes from the last stop of the
+    strip before.  A group of up to `stops` contacts is one strip.
     """
     keys = list(by)
-    base = contacts.select(*keys, "id", "lat", "lon", "severity")
-    if largest_group(base, keys) > limit:
-        strip = ranked(base, keys, [F.asc("lat"), F.asc("lon"), F.asc("id")], "_r")
-        base = strip.withColumn("part", F.floor((F.col("_r") - 1) / limit).cast("int")).drop("_r")
-    else:
-        base = base.withColumn("part", F.lit(0))
+    base = _strips(contacts.select(*keys, "id", "lat", "lon", "severity"), keys, stops)
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in base.schema) + ", seq int, leg_m double"
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["severity", "id"], ascending=[False, True], ignore_index=True)
-        lat, lon = pdf["lat"].to_numpy(float), pdf["lon"].to_numpy(float)
-        if start is not None:
-            order = tour(np.r_[start[0], lat], np.r_[start[1], lon])[1:] - 1
+        part = int(pdf["part"].iloc[0])
+        if part:
+            pdf = pdf.sort_values(["lat", "lon", "id"], ignore_index=True)
         else:
-            order = tour(lat, lon)
-        out = pdf.iloc[order].reset_index(drop=True)
-        p = _ecef_np(out["lat"].to_numpy(float), out["lon"].to_numpy(float))
-        legs = _arc(np.linalg.norm(np.diff(p, axis=0), axis=1))
-        first = np.nan if start is None else _arc(np.linalg.norm(p[0] - _ecef_np(*start)))
-        return out.assign(seq=np.arange(1, len(out) + 1, dtype=np.int32), leg_m=np.r_[first, legs])
+            pdf = pdf.sort_values(["severity", "id"], ascending=[False, True], ignore_index=True)
+        before = None if part else start
+        out = pdf.iloc[_order_from(before, pdf)].reset_index(drop=True)
+        return out.assign(seq=np.arange(1, len(out) + 1, dtype=np.int32) + part * stops,
+                          leg_m=_legs(out["lat"].to_numpy(float), out["lon"].to_numpy(float), before))
 
     # most zones are lone contacts: those need no tour and stay out of Python
     size = base.groupBy(*keys, "part").agg(F.count(F.lit(1)).alias("_n"))
     sized = base.join(size, [*keys, "part"])
-    first_leg = F.lit(None).cast("double") if start is None else short_distance_m(start[0], start[1], "lat", "lon")
-    lone = sized.where("_n = 1").drop("_n").withColumns({"seq": F.lit(1), "leg_m": first_leg})
-    toured = sized.where("_n > 1").drop("_n").groupBy(*keys, "part").applyInPandas(run, schema).withColumn(
-        "leg_m", F.when(~F.isnan("leg_m"), F.col("leg_m")))
-    return lone.unionByName(toured)
+    nowhere = F.lit(None).cast("double")
+    first_leg = nowhere if start is None else F.when(F.col("part") == 0, short_distance_m(start[0], start[1], "lat", "lon"))
+    lone = sized.where("_n = 1").drop("_n").withColumns({"seq": (F.col("part") * stops + 1).cast("int"), "leg_m": first_leg})
+    toured = sized.where("_n > 1").drop("_n").groupBy(*keys, "part").applyInPandas(run, schema)
+    return _stitched(lone.unionByName(toured), keys)
+
 
+def _order_from(before: tuple[float, float] | None, rows: pd.DataFrame) -> np.ndarray:
+    """Tour of the rows from a position, or from the first row."""
+    lat, lon = rows["lat"].to_numpy(float), rows["lon"].to_numpy(float)
+    if before is None:
+        return tour(lat, lon)
+    return tour(np.r_[before[0], lat], np.r_[before[1], lon])[1:] - 1
 
-def tour_legs(stops: DataFrame, keys: tuple[str, ...] = ("survey", "zone", "part")) -> DataFrame:
+
+def tour_legs(stops: DataFrame, keys: tuple[str, ...] = ("survey", "zone")) -> DataFrame:
     """Leg from the previous stop and total per tour, from an ordered stop table (`seq`)."""
     before = stops.select(*keys, (F.col("seq") + 1).alias("seq"), F.col("lat").alias("_plat"), F.col("lon").alias("_plon"))
     leg = F.when(F.col("_plat").isNotNull(), short_distance_m("_plat", "_plon", "lat", "lon"))
@@ -255,60 +282,67 @@ def tour_totals(stops: DataFrame, keys: tuple[str, ...] = ("survey", "zone")) ->
 
 
 def cluster_tours(contacts: DataFrame, labels: DataFrame, start: tuple[float, float] | None = None,
-                  limit: int = ZONE_MEMBERS) -> DataFrame:
-    """Two-level tour: zones in visiting order, members inside, each zone starting where the last ended.
-
-    The chain is sequential inside a survey, so surveys run in parallel.  A
-    survey above `limit` contacts is cut into chunks of consecutive zones, each
-    toured in its own task from the centroid of the zone before it.
+                  stops: int = ZONE_MEMBERS, limit: int = ZONE_MEMBERS) -> DataFrame:
+    """Two-level tour: zones in visiting order, members inside, each zone starting where the last ended; `seq` runs through the survey.
+
+    Zones, and members of a zone, are cut into strips of `stops` as in
+    `zone_tours`; that is part of the rule.  The chain from zone to zone is
+    sequential, but a zone of one contact ends there whatever came before, and a
+    later strip starts at its own first contact: at both the chain is cut, and
+    the runs between are toured side by side.  A run of more than `limit`
+    contacts (`stops` at least, so that no round is without a strip) takes
+    several rounds, each going on from where the last one ended: `limit` bounds a
+    task and never changes the answer.
     """
     z = zones(contacts, labels)
     by_zone = z.select("survey", F.col("zone").alias("id"), F.col("centroid_lat").alias("lat"),
                        F.col("centroid_lon").alias("lon"), F.col("total_severity").alias("severity"))
-    visit = cut_lineage(zone_tours(by_zone, ("survey",), start).withColumnRenamed("id", "zone"))
-    visit = ranked(visit, ["survey"], [F.asc("part"), F.asc("seq")], "zone_seq").drop("part", "seq", "leg_m", "severity")
-    sized = running_sums(visit.join(z.select("survey", "zone", "n"), ["survey", "zone"]), ["survey"],
-                         [F.asc("zone_seq")], {"cum": "n"})
-    chunked = sized.withColumn("chunk", F.floor((F.col("cum") - F.col("n")) / limit).cast("int"))
-    before = chunked.select("survey", (F.col("zone_seq") + 1).alias("zone_seq"), F.col("chunk").alias("_c0"),
-                            F.col("lat").alias("_slat"), F.col("lon").alias("_slon"))
-    order = (chunked.join(before, ["survey", "zone_seq"], "left")
-             .withColumns({c: F.when(F.col("_c0") < F.col("chunk"), F.col(c)) for c in ("_slat", "_slon")})
-             .select("survey", "zone", "zone_seq", "chunk", "_slat", "_slon"))
-    # a zone larger than a task is cut the way zone_tours cuts it
-    rows = contacts.select("id", "lat", "lon", "severity").join(labels.select("id", "survey", "zone"), "id")
-    if largest_group(rows, ["survey", "zone"]) > limit:
-        rows = ranked(rows, ["survey", "zone"], [F.asc("lat"), F.asc("lon"), F.asc("id")], "_r").withColumn(
-            "piece", F.floor((F.col("_r") - 1) / limit).cast("int")).drop("_r")
-    else:
-        rows = rows.withColumn("piece", F.lit(0))
-    rows = rows.join(order, ["survey", "zone"])
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["zone_seq", "severity", "id"], ascending=[True, False, True])
-        s_lat, s_lon = pdf["_slat"].iloc[0], pdf["_slon"].iloc[0]
-        prev = (s_lat, s_lon) if not np.isnan(s_lat) else start
-        parts, seq = [], 0
-        for _, zone in pdf.groupby("zone_seq", sort=True):
-            lat, lon = zone["lat"].to_numpy(float), zone["lon"].to_numpy(float)
-            if prev is None:
-                o = tour(lat, lon)
-            else:
-                o = tour(np.r_[prev[0], lat], np.r_[prev[1], lon])[1:] - 1
-            out = zone.iloc[o]
-            here = _ecef_np(out["lat"].to_numpy(float), out["lon"].to_numpy(float))
-            legs = _arc(np.linalg.norm(np.diff(here, axis=0), axis=1))
-            first = np.nan if prev is None else _arc(np.linalg.norm(here[0] - _ecef_np(*prev)))
-            parts.append(out.assign(seq=np.arange(seq + 1, seq + 1 + len(out), dtype=np.int32), leg_m=np.r_[first, legs]))
-            seq += len(out)
-            prev = (float(out["lat"].iloc[-1]), float(out["lon"].iloc[-1]))
-        return pd.concat(parts)[["survey", "chunk", "piece", "zone", "zone_seq", "id", "seq", "lat", "lon", "severity", "leg_m"]]
-
-    schema = ("survey string, chunk int, piece int, zone string, zone_seq int, id string, seq int, lat double, lon double, "
+    visit = zone_tours(by_zone, ("survey",), start, stops).select("survey", F.col("id").alias("zone"), F.col("seq").alias("zone_seq"))
+    rows = cut_lineage(_strips(contacts.select("id", "lat", "lon", "severity").join(labels.select("id", "survey", "zone"), "id"), ["survey", "zone"], stops))
+    units = (rows.groupBy("survey", "zone", "part").agg(F.count(F.lit(1)).alias("n"), F.max(F.struct("lat", "lon")).alias("_at"))
+             .join(visit, ["survey", "zone"]))
+    units = cut_lineage(ranked(units, ["survey"], [F.asc("zone_seq"), F.asc("part")], "unit"))
+    before = units.select("survey", (F.col("unit") + 1).alias("unit"), F.when(F.col("n") == 1, F.col("_at")).alias("_from"))
+    here = F.lit(None).cast("struct<lat:double,lon:double>") if start is None else F.struct(F.lit(float(start[0])).alias("lat"), F.lit(float(start[1])).alias("lon"))
+    units = (units.join(before, ["survey", "unit"], "left").withColumn("_from", F.when(F.col("part") > 0, None).when(F.col("unit") == 1, here).otherwise(F.col("_from")))
+             .withColumn("fresh", ((F.col("unit") == 1) | (F.col("part") > 0) | F.col("_from").isNotNull()).cast("int")))
+    units = running_sums(units, ["survey"], [F.asc("unit")], {"run": "fresh", "_cum": "n"})
+    units = running_sums(units, ["survey", "run"], [F.asc("unit")], {"_load": "n"})
+    units = units.select("survey", "zone", "part", "zone_seq", "unit", "run", "n", "fresh", F.col("_from.lat").alias("_slat"), F.col("_from.lon").alias("_slon"),
+                         (F.col("_cum") - F.col("n")).alias("_before"), F.floor((F.col("_load") - F.col("n")) / max(limit, stops)).cast("int").alias("chunk"))
+    rows = cut_lineage(rows.join(units, ["survey", "zone", "part"]))
+    columns = ["survey", "run", "part", "zone", "zone_seq", "id", "seq", "lat", "lon", "severity", "leg_m"]
+    schema = ("survey string, run long, part int, zone string, zone_seq int, id string, seq int, lat double, lon double, "
               "severity double, leg_m double")
-    return rows.groupBy("survey", "chunk", "piece").applyInPandas(run, schema).withColumn(
-        "leg_m", F.when(~F.isnan("leg_m"), F.col("leg_m")))
-
 
-def candidate_load(a: DataFrame, b: DataFrame, radius_m: float) -> tuple[int, int]:
-    return crowding(a, b, radius_m)
+    def tour_run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["unit", "severity", "id"], ascending=[True, False, True])
+        lat, lon = pdf["_slat"].iloc[0], pdf["_slon"].iloc[0]
+        prev = None if np.isnan(lat) else (float(lat), float(lon))
+        parts = []
+        for _, unit in pdf.groupby("unit", sort=True):
+            own = int(unit["part"].iloc[0]) > 0
+            if own:
+                unit = unit.sort_values(["lat", "lon", "id"])
+            out = unit.iloc[_order_from(None if own else prev, unit)]
+            at = out["lat"].to_numpy(float), out["lon"].to_numpy(float)
+            parts.append(out.assign(seq=(out["_before"].iloc[0] + np.arange(1, len(out) + 1)).astype(np.int32), leg_m=_legs(*at, prev)))
+            prev = float(at[0][-1]), float(at[1][-1])
+        return pd.concat(parts)[columns]
+
+    # a contact alone in its zone and in its run needs no Python
+    alone = (F.col("n") == 1) & (F.col("fresh") == 1)
+    done = [rows.where(alone).withColumns({"seq": (F.col("_before") + 1).cast("int"), "leg_m": short_distance_m("_slat", "_slon", "lat", "lon")})
+            .select(*[F.col(c).cast(t) for c, t in (x.split() for x in schema.split(", "))])]
+    rest, exits = rows.where(~alone), None
+    for k in range(1 + int(rest.agg(F.max("chunk")).first()[0] or 0)):
+        now = rest.where(F.col("chunk") == k)
+        if exits is not None:
+            now = now.drop("_slat", "_slon").join(exits, ["survey", "run"])
+        got = cut_lineage(now.groupBy("survey", "run").applyInPandas(tour_run, schema))
+        exits = got.groupBy("survey", "run").agg(F.max_by("lat", "seq").alias("_slat"), F.max_by("lon", "seq").alias("_slon"))
+        done.append(got)
+    out = done[0]
+    for d in done[1:]:
+        out = out.unionByName(d)
+    return _stitched(out, ["survey"])
