@@ -257,6 +257,14 @@ def w11(s):
     return legs.groupBy("survey").agg(F.count("*").alias("stops"), F.round(F.sum("leg_m"), 3).alias("total_m"))
 
 
+@query("g8_tour_is_complete", "v_contacts", """
+SELECT survey, count(*) AS stops, CAST(count(*) AS INT) AS last_seq, count(*) AS places, count(*) AS legs FROM v_contacts GROUP BY survey""")
+def g8_complete(s):
+    c = s.v_contacts
+    t = C.cluster_tours(c, C.linkage_labels(c, 12.0), start=(13.05, 80.35))
+    return t.groupBy("survey").agg(F.count_distinct("id").alias("stops"), F.max("seq").alias("last_seq"), F.count_distinct("seq").alias("places"), F.count("leg_m").alias("legs"))
+
+
 @query("g8_cluster_tours")
 def g8(s):
     c = s.v_contacts
