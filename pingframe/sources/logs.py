@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,6 +19,7 @@ from ..functions import geodesy as G
 from ..functions.geometry import slant_range_from_samples
 from ..operators.conditioning import fit_width
 from ..operators.scale import ranked, salted_join
+from ..session import written
 from . import decoders as D
 
 NAV = ["time", "lat", "lon", "heading", "altitude", "sensor_depth", "sound_velocity", "slant_range", "speed", "layback"]
@@ -33,44 +35,42 @@ def register_format(*suffixes: str):
     return wrap
 
 
-def list_files(spark: SparkSession, path: str) -> DataFrame:
-    """Every file under `path` with its suffix, lazily (contents are read by the branch that decodes them)."""
-    f = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    return f.withColumn("suffix", F.lower(F.regexp_extract("path", r"(\.[^./]+)$", 1)))
+def list_files(spark: SparkSession, path: str, *suffixes: str) -> DataFrame:
+    """Files under `path` with their suffix; with suffixes (any case) only those are listed, and no other file's bytes are read."""
+    read = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+    if suffixes:
+        either = ",".join("".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in s) for s in suffixes)
+        read = read.option("pathGlobFilter", "*{" + either + "}")
+    return read.load(path).withColumn("suffix", F.lower(F.regexp_extract("path", r"(\.[^./]+)$", 1)))
 
 
 def scan_surveys(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(traces, nav, quarantine) of a mixed archive."""
-    files = list_files(spark, path)
+    """(traces, nav, quarantine) of a mixed archive; files of no known format are only listed, never read."""
     companions = [".son", ".idx"]
-    unknown = files.where(~F.col("suffix").isin(*FORMATS, *companions)).select("path", F.lit("unknown format").alias("error"))
+    bad = list_files(spark, path).where(~F.col("suffix").isin(*FORMATS, *companions)).select("path", F.lit("unknown format").alias("error"))
     traces = nav = None
     for fn in dict.fromkeys(FORMATS.values()):
         mine = [s for s, f in FORMATS.items() if f is fn]
-        t, n, e = fn(files.where(F.col("suffix").isin(*mine, *(companions if ".dat" in mine else []))))
+        t, n, e = fn(list_files(spark, path, *mine, *(companions if ".dat" in mine else [])))
         traces = t if traces is None else traces.unionByName(t)
         nav = n if nav is None else nav.unionByName(n)
-        unknown = unknown.unionByName(e)
-    return traces, nav, unknown
+        bad = bad.unionByName(e)
+    return traces, nav, bad
 
 
-def _decode(files: DataFrame, fn, schema: str) -> DataFrame:
-    """Frames of each file; one file's bytes per Arrow batch row, frames leave in bounded batches."""
-    names = [c.strip().split()[0] for c in schema.split(",")]
+def _decode(files: DataFrame, fn, schema: str, *columns: str) -> DataFrame:
+    """Frames of each file, decoded once: written as a table, which everything else is derived from.
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for path, content in zip(pdf["path"], pdf["content"]):
-                rows = []
-                for r in fn(path, bytes(content)):
-                    rows.append(r)
-                    if len(rows) == 512:
-                        yield pd.DataFrame(rows, columns=names).astype(object).where(lambda d: d.notna(), None)
-                        rows = []
-                if rows:
-                    yield pd.DataFrame(rows, columns=names).astype(object).where(lambda d: d.notna(), None)
+    `fn(path, content, *columns)` yields Arrow batches of the schema, a bounded number of frames each.
+    """
+    columns = ("path", "content", *columns)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                yield from fn(*(batch.column(c)[row].as_py() for c in columns))
 
-    return files.select("path", "content").mapInPandas(run, schema)
+    return written(files.select(*columns).mapInArrow(run, schema))
 
 
 def _survey(path: Column | str) -> Column:
@@ -168,18 +168,10 @@ def ingest_son(files: DataFrame, pixel_size_m: float = 0.02, sound_velocity: flo
     idx = kind.where("suffix = '.idx'").select("stem", F.col("content").alias("idx"))
     pair = sons.join(idx, "stem", "left").withColumn("rec", F.regexp_extract("stem", r"^(.*)/[^/]+$", 1)).join(dats.select("rec"), "rec", "left_semi")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [c.strip().split()[0] for c in D.SON_SCHEMA.split(",")]
-        for pdf in batches:
-            for path, content, ix in zip(pdf["path"], pdf["content"], pdf["idx"]):
-                rows = list(D.son_frames(path, bytes(content), None if ix is None else bytes(ix)))
-                for i in range(0, len(rows), 512):
-                    yield pd.DataFrame(rows[i:i + 512], columns=names).astype(object).where(lambda d: d.notna(), None)
-
-    recs = pair.select("path", "content", "idx").mapInPandas(run, D.SON_SCHEMA)
+    recs = _decode(pair, D.son_frames, D.SON_SCHEMA, "idx")
     recs = recs.withColumns({"rec": F.regexp_extract("path", r"^(.*)/[^/]+\.[^./]+$", 1),
                              "side": F.when(F.upper(F.regexp_extract("path", r"([^/]+)\.[^./]+$", 1)) == "B002", "port").otherwise("starboard")})
-    head = _decode(dats, lambda p, b: iter([D.dat_header(p, b)]), D.DAT_SCHEMA).withColumn("rec", F.regexp_extract("path", r"^(.*)\.[^./]+$", 1))
+    head = _decode(dats, D.dat_header, D.DAT_SCHEMA).withColumn("rec", F.regexp_extract("path", r"^(.*)\.[^./]+$", 1))
     sides = pair.groupBy("rec").agg(F.count_distinct("beam").alias("beams"))
     lone = dats.join(sides, "rec", "left").where(F.coalesce("beams", F.lit(0)) < 2).select("path", F.lit("sidescan beam missing").alias("error"))
     errors = (recs.where("error IS NOT NULL").select("path", "error").unionByName(head.where("error IS NOT NULL").select("path", "error")).unionByName(lone))
