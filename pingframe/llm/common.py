@@ -73,6 +73,15 @@ def small_batches(spark: SparkSession, rows: int) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
+def released(fn: Callable) -> Callable:
+    """`fn` over Arrow batches; when a task ends, its Python worker, which is used again, gives free memory back to the system."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from fn(batches)
+        for pool in (pa.default_memory_pool(), pa.system_memory_pool()):
+            pool.release_unused()
+    return run
+
+
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(node, label) with the smallest node reachable, for the nodes that have an edge.
 
