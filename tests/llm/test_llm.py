@@ -249,6 +249,15 @@ def test_scores_base_and_probability(spark):
     assert len(twice) == 2 and twice[0].base_score == twice[1].base_score
 
 
+def test_words_are_predicted_from_the_words_before(spark):
+    r = random.Random(11)
+    texts = [" ".join(r.choice(["red fox", "blue owl", "green elk"]) for _ in range(60)) for _ in range(200)]      # the second word follows from the first
+    m = lm.train(docs_of(spark, texts))[0]()
+    log = m.log10s(b"red fox blue owl green elk red owl".split())
+    assert log[1::2][:3].min() > -0.1 and log[7] < -1
+    assert m.log10s([b"fox"], past=lm.pasts(lm._digests([b"red", b"fox"]))[:, 1:])[0] == pytest.approx(log[1])
+
+
 def test_code_tree_and_word_probabilities_sum_to_one():
     tree = lm.code_tree(np.arange(256.0))
     assert abs(sum(2.0 ** -n for n in tree[0]) - 1) < 1e-12
