@@ -205,3 +205,62 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", radius: i
     chosen = (first.join(groups.withColumnRenamed("fp", fp), fp).groupBy("component_id").agg(F.min("m").alias("m")).select(F.col("m.f").alias(fp)))
     return (marked.withColumn(rank, F.row_number().over(best)).where(F.col(rank) == 1).drop(rank)
             .join(chosen, fp, "left_semi").select(*docs.columns))
+
+
+def shingles(text: bytes | None, shingle: int = 5, seed: int = SEED) -> np.ndarray:
+    """The set of a text's shingles as ascending XXH64 values, words as in fingerprint(); fewer words than a shingle form one, no words none."""
+    words = (text or b"").lower().split()
+    if not words:
+        return np.zeros(0, np.uint64)
+    n, digest, join = max(1, len(words) - shingle + 1), xxhash.xxh64_intdigest, b" ".join
+    return np.unique(np.fromiter((digest(join(words[i:i + shingle]), seed) for i in range(n)), np.uint64, n))
+
+
+def _sets(texts: DataFrame, heads: bool) -> DataFrame:
+    """(id, n, s) from (id, text): the number of a text's shingles and its shingles, or the first fifth and one more of them."""
+    def spread(batch: pa.RecordBatch) -> pa.RecordBatch:
+        held = [shingles(t.as_py()).view(np.int64) for t in batch.column(1).cast(pa.binary())]
+        some = [x[:len(x) - (4 * len(x) + 4) // 5 + 1] if heads else x for x in held]
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in held], pa.int32()), pa.array(some, pa.list_(pa.int64()))], ["id", "n", "s"])
+
+    return map_arrow(texts, spread, "id long, n int, s array<long>")
+
+
+def similar(texts: DataFrame) -> DataFrame:
+    """(src, dst) of all pairs of rows (id, text) whose sets of shingles have a Jaccard similarity of 0.8 at least.
+
+    Of sets so alike each holds 4 of 5 of the other's elements at least, so they
+    share one of the first fifth and one more of their elements: such pairs are
+    the candidates, none is missed, and their whole sets are compared.
+    """
+    heads = _sets(texts, True).select("id", "n", F.explode("s").alias("x")).withColumn("m", F.count(F.lit(1)).over(Window.partitionBy("x")))
+    heads = stored(heads.where("m > 1").drop("m"), "similar-heads")
+    a, b = heads.select("x", F.col("id").alias("src"), F.col("n").alias("n1")), heads.select("x", F.col("id").alias("dst"), F.col("n").alias("n2"))
+    pairs = stored(a.join(b, "x").where("src < dst AND 5L * n1 >= 4L * n2 AND 5L * n2 >= 4L * n1").select("src", "dst").distinct(), "similar-pairs")
+    needed = pairs.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
+    sets = stored(_sets(texts.join(needed, "id", "left_semi"), False), "similar-shingles")
+    both = (pairs.join(sets.select(F.col("id").alias("src"), F.col("s").alias("s1")), "src").join(sets.select(F.col("id").alias("dst"), F.col("s").alias("s2")), "dst")
+            .select("src", "dst", (F.size("s1") + F.size("s2")).alias("n"), F.size(F.array_intersect("s1", "s2")).alias("shared")))
+    return both.where("5L * shared >= 4L * (n - shared)").select("src", "dst")
+
+
+def keep_one_similar(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """keep_one() with documents linked by a Jaccard similarity of their five-word shingles of 0.8 at least; texts without words are alike."""
+    name, rank = spare(docs, "_set", "_rank")
+    small_batches(docs.sparkSession, 512)
+    at = docs.columns.index(text)
+
+    def add(batch: pa.RecordBatch) -> pa.RecordBatch:
+        ids = np.fromiter((xxhash.xxh64_intdigest(shingles(t.as_py()).tobytes()) for t in batch.column(at).cast(pa.binary())), np.uint64, batch.num_rows)
+        return pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids.view(np.int64))], [*batch.schema.names, name])
+
+    best = Window.partitionBy(name).orderBy(F.col(key).asc_nulls_last(), F.col(text))
+    marked = map_arrow(docs, add, docs.select("*", F.lit(0).cast("long").alias(name)).schema)
+    marked = stored(marked.withColumn(rank, F.row_number().over(best)).where(F.col(rank) == 1).drop(rank), "similar-documents")     # equal sets first
+    edges = stored(similar(marked.select(F.col(name).alias("id"), F.col(text).alias("text"))), "similar-links")
+    linked = edges.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
+    label = components(linked, edges).select(F.col("node").alias(name), "label")
+    place = F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("id"), F.col(name).alias("f"))
+    grouped = stored(marked.select(key, name).join(label, name).select("label", name, place.alias("m")), "similar-groups")
+    dropped = grouped.join(grouped.groupBy("label").agg(F.min("m").alias("least")), "label").where("m <> least").select(name)
+    return marked.join(dropped, name, "left_anti").select(*docs.columns)

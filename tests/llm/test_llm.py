@@ -114,6 +114,31 @@ def test_simhash_nulls_repeats_and_empty(spark):
     assert simhash.near_duplicates(t.limit(0)).count() == 0 and simhash.keep_one(t.limit(0)).count() == 0
 
 
+def test_pipeline_stage_keeps_one_of_similar_texts(spark):
+    import corpus_pipeline
+
+    r = random.Random(12)
+    base = [prose(r, n) for n in (12, 40, 60, 200, 300)]
+    texts = AWKWARD[:3] + base
+    for b in base:
+        for changed in (1, 2, 4, 8):
+            words = b.split()
+            for i in r.sample(range(len(words)), changed):
+                words[i] = "other"
+            texts.append(" ".join(words))
+    sets = [{tuple(w[i:i + 5]) for i in range(max(1, len(w) - 4))} if (w := (t or "").split()) else set() for t in texts]
+    label = list(range(len(texts)))
+    for _ in texts:
+        for i in range(len(texts)):
+            for j in range(i):
+                if sets[i] == sets[j] or len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                    label[i] = label[j] = min(label[i], label[j])
+    kept = corpus_pipeline.drop_near_copies(spark, docs_of(spark, texts), "").collect()
+    assert 0 < len(set(label)) - 1 < len(texts) - 5
+    assert sorted(x.doc_id for x in kept) == sorted(set(label)) and set(kept[0].asDict()) == set(docs_of(spark, [""]).columns)
+    assert corpus_pipeline.drop_near_copies(spark, docs_of(spark, [""]).limit(0), "").count() == 0
+
+
 # --- decontamination ---
 
 def brute_distance(item, text):
