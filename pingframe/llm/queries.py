@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, decontam, lm, mixing, pii, sharding, simhash, toxicity, warc
-from .common import crc32_of_id, shared_folder, stored, table, utf8, word_count
+from . import ann, chat, decontam, lm, mixing, packing, periodic, pii, sharding, simhash, toxicity, variants, warc
+from .common import WORD, crc32_of_id, shared_folder, stored, table, utf8, word_count
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -126,3 +126,36 @@ SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, digest AS payload_digest,
   CASE WHEN n >= 1000 AND page_id <> top THEN top END AS refers_to
 FROM m
 """
+
+
+@query
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of every document, a tenth of which repeat their words from some place on, as their ids say."""
+    h, words = F.col("h"), F.col("w")
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), crc32_of_id(F.col("doc_id")).alias("h"))
+    n, g = F.size(words), F.floor(h / 10)
+    start, period = F.col("a"), F.col("p")
+    looped = F.array_join(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.get(words, F.when(i < start, i).otherwise(start + (i - start) % period).cast("int"))), " ")
+    docs = (docs.withColumn("w", F.when(h % 10 == 0, F.regexp_extract_all("text", F.lit(WORD), F.lit(0))))
+            .withColumn("a", F.when(n > 0, g % n)).withColumn("p", 1 + F.floor((n - start) / (3 + g % 8)))
+            .select("doc_id", F.when(n > 0, looped).otherwise(F.col("text")).alias("text")))
+    found = periodic.with_runs(docs).withColumn("top", periodic.longest("runs"))
+    return found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), F.col("top.s").alias("start"), (-F.col("top.l")).alias("length"), F.col("top.p").alias("period"),
+                        F.floor(-1000 * F.col("top.l") / F.col("top.p")).alias("exponent_milli"),
+                        F.sha2(F.encode(periodic.written_runs("runs"), "UTF-8"), 256).alias("runs_sha256"), F.sha2(F.encode("collapsed", "UTF-8"), 256).alias("collapsed_sha256"))
+
+
+@query
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of all documents, one in 97 of a document's words with a letter dropped, and the forms they vary."""
+    found = variants.words(table(spark, sf_dir, "documents")).where(F.length("word") >= variants.LENGTH)
+    return variants.with_forms(variants.counted(variants.dropped_letters(found)))
+
+
+@query
+def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    pieces = packing.pack(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), keep_ids=False)
+    return pieces.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
