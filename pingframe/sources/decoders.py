@@ -58,6 +58,10 @@ DAT_SCHEMA = "path string, unix_time long, sonar long, n_records long, error str
 _ARROW = {"string": pa.string(), "long": pa.int64(), "int": pa.int32(), "float": pa.float32(), "array<double>": pa.list_(pa.float64())}
 
 
+def arrow_type(kind: str) -> pa.DataType:
+    return _ARROW[kind]
+
+
 # ---- blocks of frames to Arrow -----------------------------------------------
 
 def batch(schema: str, rows: int, /, **columns) -> pa.RecordBatch:
@@ -88,17 +92,17 @@ def _samples(data: np.ndarray, begins: np.ndarray, counts: np.ndarray, kind: str
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), pa.array(flat))
 
 
-def _starts(buf: bytes, first: int, head: int, size_of: Callable[[int], int]) -> Iterator[np.ndarray]:
-    """Blocks of frame starts: a frame begins where the sizes before it end, as long as its head fits."""
+def _starts(buf: bytes, first: int, stop: int, end: int, head: int, size_of: Callable[[int], int]) -> Iterator[tuple[np.ndarray, int]]:
+    """(block of frame starts before `stop`, where its last frame leads): a frame begins where the sizes before it end, as long as its head fits before `end`."""
     block, at = [], first
-    while at + head <= len(buf):
+    while at < stop and at + head <= end:
         block.append(at)
         at += max(size_of(at), head)
         if len(block) == BLOCK:
-            yield np.array(block, np.int64)
+            yield np.array(block, np.int64), at
             block = []
     if block:
-        yield np.array(block, np.int64)
+        yield np.array(block, np.int64), at
 
 
 def _sound(*faults: np.ndarray) -> tuple[int, int | None]:
@@ -116,13 +120,25 @@ def _columns(records: np.ndarray, schema: str) -> dict[str, np.ndarray]:
 
 def jsf_frames(path: str, buf: bytes) -> Iterator[pa.RecordBatch]:
     """Sonar traces of a .jsf; a cut-off last message ends the file quietly, any other fault is an error row and ends it."""
-    data, size = np.frombuffer(buf, np.uint8), Struct("<I")
+    return (b for b, _ in jsf_part(path, buf, b"", 0, 0, len(buf), len(buf)) if b is not None)
+
+
+def jsf_sizes(data: np.ndarray, starts: np.ndarray, preamble: bytes) -> np.ndarray:
+    """Bytes of the message at each start, 0 where none can be."""
+    msg = _gather(data, starts, JSF_MESSAGE)
+    return np.where(msg["marker"] == JSF_MARKER, 16 + msg["size"].astype(np.int64), 0)
+
+
+def jsf_part(path: str, buf: bytes, preamble: bytes, base: int, first: int, stop: int, total: int) -> Iterator[tuple[pa.RecordBatch | None, int | None]]:
+    """(batch, where the file goes on) for the messages that begin in [first, stop) of `buf`, which lies at `base` of a file of `total` bytes; null: it ends."""
+    data, size, end = np.frombuffer(buf, np.uint8), Struct("<I"), total - base
     faults = ("bad message marker", None, "trace header too short", "trace samples cut off")
-    for starts in _starts(buf, 0, JSF_MESSAGE.itemsize, lambda at: 16 + size.unpack_from(buf, at + 12)[0]):
+    at = first
+    for starts, at in _starts(buf, first, stop, end, JSF_MESSAGE.itemsize, lambda at: 16 + size.unpack_from(buf, at + 12)[0]):
         msg = _gather(data, starts, JSF_MESSAGE)
         body = starts + JSF_MESSAGE.itemsize
         trace = (msg["kind"] == JSF_TRACE) & (msg["subsystem"] != 0)
-        marker, cut = msg["marker"] != JSF_MARKER, body + msg["size"] > len(buf)
+        marker, cut = msg["marker"] != JSF_MARKER, body + msg["size"] > end
         short = trace & (msg["size"] < JSF_HEADER.itemsize)
         whole = np.flatnonzero(trace & ~cut & ~short)
         head = _gather(data, body[whole], JSF_HEADER)
@@ -130,33 +146,54 @@ def jsf_frames(path: str, buf: bytes) -> Iterator[pa.RecordBatch]:
         few[whole] = JSF_HEADER.itemsize + 2 * head["n"].astype(np.int64) > msg["size"][whole]
         n, fault = _sound(marker, cut, short, few)
         kept = whole < n
-        at, h = whole[kept], head[kept]
-        yield batch(JSF_SCHEMA, len(at), path=path, offset=starts[at], subsystem=msg["subsystem"][at], channel=msg["channel"][at],
-                    samples=_samples(data, body[at] + JSF_HEADER.itemsize, h["n"], "<u2"), **_columns(h, JSF_SCHEMA))
+        i, h = whole[kept], head[kept]
+        yield batch(JSF_SCHEMA, len(i), path=path, offset=base + starts[i], subsystem=msg["subsystem"][i], channel=msg["channel"][i],
+                    samples=_samples(data, body[i] + JSF_HEADER.itemsize, h["n"], "<u2"), **_columns(h, JSF_SCHEMA)), None
         if fault is not None:
             if faults[fault]:
-                yield batch(JSF_SCHEMA, 1, path=path, offset=starts[n:n + 1], error=faults[fault])
+                yield batch(JSF_SCHEMA, 1, path=path, offset=base + starts[n:n + 1], error=faults[fault]), None
             return
+    yield None, base + at if at + JSF_MESSAGE.itemsize <= end else None
 
 
 def slx_frames(path: str, buf: bytes) -> Iterator[pa.RecordBatch]:
     """Frames of a .sl2/.sl3; a frame whose sizes do not fit is an error row and ends the file."""
-    fmt = int.from_bytes(buf[:2], "little") if len(buf) >= SLX_START else 0
-    if fmt not in SLX_HEADER:
-        yield batch(SLX_SCHEMA, 1, path=path, offset=0, error="not an sl2/sl3 file")
+    return (b for b, _ in slx_part(path, buf, buf[:SLX_START], 0, SLX_START, len(buf), len(buf)) if b is not None)
+
+
+def _slx_record(preamble: bytes) -> tuple[int, np.dtype | None]:
+    fmt = int.from_bytes(preamble[:2], "little") if len(preamble) >= SLX_START else 0
+    return fmt, SLX_HEADER.get(fmt)
+
+
+def slx_sizes(data: np.ndarray, starts: np.ndarray, preamble: bytes) -> np.ndarray:
+    """Bytes of the frame at each start, 0 where its sizes do not fit."""
+    _, record = _slx_record(preamble)
+    if record is None:
+        return np.zeros(len(starts), np.int64)
+    size, packet = (_gather(data, starts + record.fields[c][1], np.dtype("<u2")).astype(np.int64) for c in ("frame_size", "packet_size"))
+    return np.where(size >= record.itemsize + packet, size, 0)
+
+
+def slx_part(path: str, buf: bytes, preamble: bytes, base: int, first: int, stop: int, total: int) -> Iterator[tuple[pa.RecordBatch | None, int | None]]:
+    """As jsf_part(), for frames of a .sl2/.sl3 whose first bytes are `preamble`."""
+    fmt, record = _slx_record(preamble)
+    if record is None:
+        yield batch(SLX_SCHEMA, 1, path=path, offset=0, error="not an sl2/sl3 file"), None
         return
-    data, record, size = np.frombuffer(buf, np.uint8), SLX_HEADER[fmt], Struct("<H")
-    where = record.fields["frame_size"][1]
-    for starts in _starts(buf, SLX_START, record.itemsize, lambda at: size.unpack_from(buf, at + where)[0]):
+    data, size, end = np.frombuffer(buf, np.uint8), Struct("<H"), total - base
+    where, at = record.fields["frame_size"][1], first
+    for starts, at in _starts(buf, first, stop, end, record.itemsize, lambda at: size.unpack_from(buf, at + where)[0]):
         head = _gather(data, starts, record)
         frame, packet = head["frame_size"].astype(np.int64), head["packet_size"].astype(np.int64)
-        n, fault = _sound((frame < record.itemsize + packet) | (starts + frame > len(buf)))
+        n, fault = _sound((frame < record.itemsize + packet) | (starts + frame > end))
         h = head[:n]
-        yield batch(SLX_SCHEMA, n, **({"epoch": 0} | _columns(h, SLX_SCHEMA)), path=path, offset=starts[:n], fmt=fmt,
-                    samples=_samples(data, starts[:n] + record.itemsize, packet[:n], "u1"))
+        yield batch(SLX_SCHEMA, n, **({"epoch": 0} | _columns(h, SLX_SCHEMA)), path=path, offset=base + starts[:n], fmt=fmt,
+                    samples=_samples(data, starts[:n] + record.itemsize, packet[:n], "u1")), None
         if fault is not None:
-            yield batch(SLX_SCHEMA, 1, path=path, offset=starts[n:n + 1], error="corrupt frame")
+            yield batch(SLX_SCHEMA, 1, path=path, offset=base + starts[n:n + 1], error="corrupt frame"), None
             return
+    yield None, base + at if at + record.itemsize <= end else None
 
 
 _SON_TAG = b"(?:[" + re.escape(SON_WIDE) + b"].{4}|[" + re.escape(SON_SHORT) + b"].)"

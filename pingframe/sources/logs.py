@@ -21,9 +21,11 @@ from ..operators.conditioning import fit_width
 from ..operators.scale import ranked, salted_join
 from ..session import written
 from . import decoders as D
+from . import ranges as R
 
 NAV = ["time", "lat", "lon", "heading", "altitude", "sensor_depth", "sound_velocity", "slant_range", "speed", "layback"]
 FORMATS: dict[str, Callable[[DataFrame], tuple[DataFrame, DataFrame, DataFrame]]] = {}
+RANGED: dict[Callable, str] = {}
 
 
 def register_format(*suffixes: str):
@@ -35,6 +37,15 @@ def register_format(*suffixes: str):
     return wrap
 
 
+def register_ranges(kind: str, *suffixes: str):
+    """Plug-in point for formats of `ranges.FORMATS`: `fn(frames) -> (traces, nav, errors)`; their files are read by byte ranges."""
+    def wrap(fn):
+        register_format(*suffixes)(fn)
+        RANGED[fn] = kind
+        return fn
+    return wrap
+
+
 def list_files(spark: SparkSession, path: str, *suffixes: str) -> DataFrame:
     """Files under `path` with their suffix; with suffixes (any case) only those are listed, and no other file's bytes are read."""
     read = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
@@ -44,14 +55,21 @@ def list_files(spark: SparkSession, path: str, *suffixes: str) -> DataFrame:
     return read.load(path).withColumn("suffix", F.lower(F.regexp_extract("path", r"(\.[^./]+)$", 1)))
 
 
-def scan_surveys(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(traces, nav, quarantine) of a mixed archive; files of no known format are only listed, never read."""
+def scan_surveys(spark: SparkSession, path: str, range_bytes: int = R.RANGE) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(traces, nav, quarantine) of a mixed archive; files of no known format are only listed, never read.
+
+    Files of the range formats are read in parts of `range_bytes`, however large
+    they are.
+    """
     companions = [".son", ".idx"]
     bad = list_files(spark, path).where(~F.col("suffix").isin(*FORMATS, *companions)).select("path", F.lit("unknown format").alias("error"))
     traces = nav = None
     for fn in dict.fromkeys(FORMATS.values()):
         mine = [s for s, f in FORMATS.items() if f is fn]
-        t, n, e = fn(list_files(spark, path, *mine, *(companions if ".dat" in mine else [])))
+        if fn in RANGED:
+            t, n, e = fn(R.logger_frames(spark, path, RANGED[fn], mine, range_bytes))
+        else:
+            t, n, e = fn(list_files(spark, path, *mine, *(companions if ".dat" in mine else [])))
         traces = t if traces is None else traces.unionByName(t)
         nav = n if nav is None else nav.unionByName(n)
         bad = bad.unionByName(e)
@@ -98,9 +116,14 @@ def two_way_speed(raw: Column) -> Column:
 
 # ---- .jsf --------------------------------------------------------------------
 
-@register_format(".jsf")
 def ingest_jsf(files: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    frames = _decode(files, D.jsf_frames, D.JSF_SCHEMA).withColumn("survey", _survey("path"))
+    """Files as (path, content) rows, each decoded whole; an archive is better read by register_ranges()'s way."""
+    return jsf_tables(_decode(files, D.jsf_frames, D.JSF_SCHEMA))
+
+
+@register_ranges("jsf", ".jsf")
+def jsf_tables(frames: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    frames = frames.withColumn("survey", _survey("path"))
     errors = frames.where("error IS NOT NULL").select("path", "error")
     good = frames.where("error IS NULL")
     t = good.withColumn("side", F.when(F.col("channel") == 0, "port").otherwise("starboard"))
@@ -131,9 +154,13 @@ def ingest_jsf(files: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
 
 # ---- .sl2 / .sl3 -------------------------------------------------------------
 
-@register_format(".sl2", ".sl3")
 def ingest_slx(files: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    frames = _decode(files, D.slx_frames, D.SLX_SCHEMA).withColumn("survey", _survey("path"))
+    return slx_tables(_decode(files, D.slx_frames, D.SLX_SCHEMA))
+
+
+@register_ranges("slx", ".sl2", ".sl3")
+def slx_tables(frames: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    frames = frames.withColumn("survey", _survey("path"))
     errors = frames.where("error IS NOT NULL").select("path", "error")
     good = frames.where("error IS NULL")
     has = good.groupBy("survey").agg(F.max((F.col("channel") == 5).cast("int")).alias("composite"), F.min_by("epoch", "offset").alias("base"))
