@@ -313,14 +313,14 @@ def j4(s):
     return rows.select("survey", "side", "row0", "col0", "r", F.round(F.aggregate("cols", F.lit(0.0), lambda a, x: a + F.coalesce(x, F.lit(0.0))), 5).alias("total"))
 
 
-def _over_300():
-    """A toy detector: the bounding box of the pixels above 300 of each tile."""
+def _over_195():
+    """A toy detector: the bounding box of the pixels above 195 of each tile."""
     import numpy as np
 
     def find(tensor):
         out = {"tile": [], "x1": [], "y1": [], "x2": [], "y2": [], "cls": [], "score": []}
         for i, image in enumerate(tensor):
-            r, c = np.nonzero(np.nan_to_num(image, nan=0.0) > 300)
+            r, c = np.nonzero(np.nan_to_num(image, nan=0.0) > 195)
             if len(r):
                 for k, v in zip(out, (i, c.min(), r.min(), c.max() + 1, r.max() + 1, "bright" if len(r) > 3 else "speck", len(r) / image.size)):
                     out[k].append(v)
@@ -333,11 +333,11 @@ def _over_300():
 WITH {TILES} SELECT c.survey, c.side, row0, col0, CAST(min(ping) AS INT) AS ping0, CAST(max(ping) AS INT) AS ping1, CAST(min(col) AS INT) AS c0, CAST(max(col) AS INT) AS c1,
   CASE WHEN count(*) > 3 THEN 'bright' ELSE 'speck' END AS cls, count(*) / 400::DOUBLE AS score
 FROM c JOIN im ON im.survey = c.survey AND im.side = c.side AND ping >= row0 AND ping < row0 + 20 AND col >= col0 AND col < col0 + 20
-WHERE CAST(v AS FLOAT) > 300 AND n_finite > 0 GROUP BY c.survey, c.side, row0, col0""")
+WHERE CAST(v AS FLOAT) > 195 AND n_finite > 0 GROUP BY c.survey, c.side, row0, col0""")
 def p2(s):
     from pingframe.operators import injected as J
     t = _tiles20(s)
-    d = J.detect(image(s), shape(s), _over_300, 20, 0.25)
+    d = J.detect(image(s), shape(s), _over_195, 20, 0.25)
     at = t.select("survey", "side", "tile_index", "row0", F.col("col0").alias("tcol0"))
     return d.join(at, ["survey", "side", "tile_index"]).select("survey", "side", "row0", F.col("tcol0").alias("col0"), "ping0", "ping1", F.col("col0").alias("c0"), F.col("col1").alias("c1"), "cls", "score")
 

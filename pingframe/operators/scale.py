@@ -9,10 +9,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..session import cut_lineage
+from ..session import cut_lineage, written
 
 GROUP_ROWS = 1_000_000
 
@@ -77,70 +80,74 @@ def exact_percentiles(df: DataFrame, keys: Sequence[str], value: str, probs: dic
                       max_group: int = GROUP_ROWS, group_rows: int | None = None) -> DataFrame:
     """Linear-interpolated percentiles per group, NULLs skipped: keys + one column per entry of `probs`.
 
-    `group_rows` may pass a known bound on the group size (e.g. pings x samples
-    per bin from a narrow table) so that the size check does not run the input.
+    Groups of at most `max_group` rows go to Spark's `percentile`, which holds a
+    group's values in one task; beyond, order statistics are found by
+    `order_statistics` and interpolated as `percentile` does, so both give the
+    same bits.  `group_rows` may pass a known bound on the group size (e.g. pings
+    x samples per bin from a narrow table) so that the size check does not run
+    the input.  A group without values has a row of NULLs.
     """
     keys = list(keys)
     rows = largest_group(df, keys) if group_rows is None else group_rows
     if rows <= max_group:
         aggs = [F.percentile(value, F.lit(p)).alias(o) for o, p in probs.items()]
         return df.groupBy(*keys).agg(*aggs) if keys else df.agg(*aggs)
-    out = None
-    for name, p in probs.items():
-        one = _bracketed_percentile(df, keys, value, p, max_group).withColumnRenamed("_p", name)
-        out = one if out is None else out.join(one, keys or [F.lit(True)])
-    return out
-
-
-def _bracketed_percentile(df: DataFrame, keys: list[str], value: str, p: float, max_group: int) -> DataFrame:
-    """Exact order statistics by narrowing a bracket around the wanted rank.
-
-    Each round takes a mergeable sketch (`percentile_approx`) to propose a
-    bracket, counts exactly what lies below it, and keeps only rows inside, as
-    (value, count) pairs, until the largest group fits in one task.
-    """
     group = keys or ["_all"]
-    base = df.where(F.col(value).isNotNull())
-    if not keys:
-        base = base.withColumn("_all", F.lit(0))
-    # (value, count) pairs: copies collapse map-side, one hot value is one row
-    pairs = base.groupBy(*group, F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
-    pairs = cut_lineage(pairs)
-    want = (pairs.groupBy(*group).agg(F.sum("_c").alias("_n"))
-            .withColumn("_pos", (F.col("_n") - 1) * F.lit(float(p)))
-            .withColumn("_k", F.floor("_pos").cast("long"))
-            .withColumn("_k2", F.least(F.col("_k") + 1, F.col("_n") - 1))
-            .withColumn("_below", F.lit(0).cast("long")))
-    inside = pairs
-    while largest_group(inside, group) > max_group:
-        # ranks of the wanted values among the *distinct* values still inside are
-        # unknown, so bracket on a weighted rank: buckets of the value range
-        cuts = inside.groupBy(*group).agg(
-            F.percentile_approx("_v", F.array(*[F.lit(i / 64) for i in range(65)]), F.lit(10000)).alias("_cuts"))
-        tagged = inside.join(cuts, group).withColumn(
-            "_b", F.size(F.filter("_cuts", lambda c: c < F.col("_v"))))
-        hist = tagged.groupBy(*group, "_b").agg(F.sum("_c").alias("_w"))
-        w = Window.partitionBy(*group).orderBy("_b")
-        hist = (hist.withColumn("_cum", F.sum("_w").over(w)).join(want, group)
-                .withColumn("_lo", F.col("_below") + F.col("_cum") - F.col("_w"))
-                .withColumn("_hi", F.col("_below") + F.col("_cum") - 1)
-                .where((F.col("_hi") >= F.col("_k")) & (F.col("_lo") <= F.col("_k2"))))
-        keep = hist.groupBy(*group).agg(F.min("_b").alias("_b0"), F.max("_b").alias("_b1"),
-                                        F.min("_lo").alias("_below2"))
-        inside = cut_lineage(tagged.join(keep, group).where(F.col("_b").between(F.col("_b0"), F.col("_b1")))
-                             .select(*group, "_v", "_c"))
-        want = cut_lineage(want.join(keep.select(*group, "_below2"), group)
-                           .withColumn("_below", F.col("_below2")).drop("_below2"))
-    w = Window.partitionBy(*group).orderBy("_v")
-    ordered = (inside.withColumn("_cum", F.sum("_c").over(w)).join(want, group)
-               .withColumn("_last", F.col("_below") + F.col("_cum") - 1))
-    picked = ordered.groupBy(*group).agg(
-        F.min(F.when(F.col("_last") >= F.col("_k"), F.col("_v"))).alias("_lo"),
-        F.min(F.when(F.col("_last") >= F.col("_k2"), F.col("_v"))).alias("_hi"),
-        F.first("_pos").alias("_pos"), F.first("_k").alias("_k"))
-    out = picked.select(*group, (F.col("_lo") + (F.col("_hi") - F.col("_lo"))
-                                 * (F.col("_pos") - F.col("_k"))).alias("_p"))
-    return out if keys else out.drop("_all")
+    base = df.select(*keys, value) if keys else df.select(F.lit(0).alias("_all"), value)
+    sizes = cut_lineage(base.groupBy(*group).agg(F.count(value).alias("_n")))
+    at = F.array(*[F.struct(F.lit(o).alias("name"), ((F.col("_n") - 1) * F.lit(float(p))).alias("pos")) for o, p in probs.items()])
+    wanted = sizes.where("_n > 0").select(*group, F.explode(at).alias("w")).select(*group, "w.name", "w.pos", F.floor("w.pos").alias("low"), F.ceil("w.pos").alias("high"))
+    ranks = wanted.select(*group, F.explode(F.array("low", "high")).alias("rank")).distinct()
+    found = order_statistics(base, group, value, ranks)
+    one = lambda r: found.select(*group, F.col("rank").alias(r), F.col("value").alias(f"_{r}"))
+    both = wanted.join(one("low"), [*group, "low"]).join(one("high"), [*group, "high"])
+    at_pos = (F.when((F.col("low") == F.col("high")) | (F.col("_low") == F.col("_high")), F.col("_low"))
+              .otherwise((F.col("high") - F.col("pos")) * F.col("_low") + (F.col("pos") - F.col("low")) * F.col("_high")))
+    named = both.groupBy(*group).agg(*[F.max(F.when(F.col("name") == o, at_pos)).alias(o) for o in probs])
+    out = sizes.select(*group).join(named, group, "left")
+    return out if keys else out.agg(*[F.max(o).alias(o) for o in probs])      # one row, of an empty table too
+
+
+#: Bits of a number that one round of `order_statistics` decides.
+RADIX = 16
+
+
+@F.arrow_udf(T.LongType())
+def ordered_bits(values: pa.Array) -> pa.Array:
+    """A double's 64 bits as an integer of the same order; -0.0 counts as 0.0, and any NaN as the largest number."""
+    v = values.to_numpy(zero_copy_only=False) + 0.0
+    bits = np.where(np.isnan(v), np.nan, v).view(np.int64)
+    return pa.array(np.where(bits < 0, bits ^ np.int64(2**63 - 1), bits))
+
+
+@F.arrow_udf(T.DoubleType())
+def from_ordered_bits(bits: pa.Array) -> pa.Array:
+    b = bits.to_numpy(zero_copy_only=False)
+    return pa.array(np.where(b < 0, b ^ np.int64(2**63 - 1), b).view(np.float64))
+
+
+def order_statistics(df: DataFrame, keys: Sequence[str], value: str, ranks: DataFrame) -> DataFrame:
+    """(keys, rank, value): the values of the wanted ranks (keys, rank from 0, once each) among each group's non-null values in ascending order.
+
+    A radix search for all ranks of all groups at once.  The numbers are written
+    once, as order-preserving bits; each of four rounds counts, map-side first,
+    the next 16 bits of the numbers that share their bits so far with a wanted
+    one, at most 65,536 counts for a group and a rank, and picks the counts that
+    the ranks fall into.  No task sees a group, nothing is estimated, and copies
+    of a value are one count.
+    """
+    keys = list(keys)
+    data = written(df.where(F.col(value).isNotNull()).select(*keys, ordered_bits(F.col(value).cast("double")).alias("_bits")))
+    state = cut_lineage(ranks.select(*keys, "rank", F.lit(0).cast("long").alias("_head"), F.lit(0).cast("long").alias("_below")))
+    for shift in range(64 - RADIX, -1, -RADIX):
+        rows = data.withColumn("_head", F.shiftright("_bits", shift + RADIX) if shift + RADIX < 64 else F.lit(0).cast("long"))
+        rows = salted_join(rows, state.select(*keys, "_head").distinct(), [*keys, "_head"], "_bits")
+        counts = rows.groupBy(*keys, "_head", F.shiftright("_bits", shift).alias("_cell")).agg(F.count(F.lit(1)).alias("_c"))
+        before = F.sum("_c").over(Window.partitionBy(*keys, "_head").orderBy("_cell")) - F.col("_c")
+        place = F.col("rank") - F.col("_below") - F.col("_before")
+        state = cut_lineage(state.join(counts.withColumn("_before", before), [*keys, "_head"]).where((place >= 0) & (place < F.col("_c")))
+                            .select(*keys, "rank", F.col("_cell").alias("_head"), (F.col("_below") + F.col("_before")).alias("_below")))
+    return state.select(*keys, "rank", from_ordered_bits("_head").alias("value"))
 
 
 def salted_join(big: DataFrame, small: DataFrame, keys: Sequence[str], salt_on: str, salts: int = 16,
