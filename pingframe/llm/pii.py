@@ -345,7 +345,7 @@ def spelled(spans: list[tuple[int, int, int]]) -> str:
 
 
 def with_spans(docs: DataFrame, model: Tagger | None, text: str = "text", name: str = "pii") -> DataFrame:
-    """Add `name`: struct of counts by kind (long) and base_sha256 of the patterns' spans, n_added, and `spans`, all spans.
+    """Add `name`: struct of counts by kind (long) and base_sha256 of the patterns' spans, `spans`, all spans, and n_added.
 
     A null text is empty: no span, and the digest of the empty text.  The whole
     text is read, in linear time.  All columns stay; one named `name` is replaced.
@@ -353,18 +353,18 @@ def with_spans(docs: DataFrame, model: Tagger | None, text: str = "text", name:
     small_batches(docs.sparkSession, 256)
     docs = docs.drop(name)
     at, shared, tag = docs.columns.index(text), docs.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex      # a few thousand weights
-    kind = pa.struct([*((f"n_{k}", pa.int64()) for k in KINDS), ("n_added", pa.int64()), ("base_sha256", pa.string()), ("spans", pa.string())])
+    kind = pa.struct([*((f"n_{k}", pa.int64()) for k in KINDS), ("base_sha256", pa.string()), ("spans", pa.string()), ("n_added", pa.int64())])
 
     def add(batch: pa.RecordBatch) -> pa.RecordBatch:
         model_ = _MODELS.setdefault(tag, shared.value)
         rows = []
         for f in find_all([t or "" for t in batch.column(at).to_pylist()], model_):
             counts = np.bincount([k for k, _, _ in f.base], minlength=len(KINDS)).tolist()
-            rows.append({**{f"n_{k}": c for k, c in zip(KINDS, counts)}, "n_added": len(f.added), "base_sha256": hashlib.sha256(spelled(f.base).encode()).hexdigest(),
-                         "spans": spelled(f.base + f.added)})
+            rows.append({**{f"n_{k}": c for k, c in zip(KINDS, counts)}, "base_sha256": hashlib.sha256(spelled(f.base).encode()).hexdigest(),
+                         "spans": spelled(f.base + f.added), "n_added": len(f.added)})
         return pa.RecordBatch.from_arrays([*batch.columns, pa.array(rows, kind)], [*batch.schema.names, name])
 
-    fields = ",".join([*(f"n_{k}:bigint" for k in KINDS), "n_added:bigint", "base_sha256:string", "spans:string"])
+    fields = ",".join([*(f"n_{k}:bigint" for k in KINDS), "base_sha256:string", "spans:string", "n_added:bigint"])
     return map_arrow(docs, add, docs.select("*", F.expr(f"cast(null as struct<{fields}>)").alias(name)).schema)
 
 

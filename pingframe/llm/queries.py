@@ -84,7 +84,7 @@ def op4_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = stored(table(spark, sf_dir, "documents").select("doc_id", "source", word_count(F.col("text")).alias("words"), F.xxhash64("text").alias("h")), "mix-rows")
     out = mixing.mix(docs, size=F.col("words"), tie=F.col("h"))
-    return out.select("doc_id", "source", "size", "source_size", "target", (F.col("size") * F.col("times")).alias("taken"))
+    return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("times")).alias("taken"), "source")
 
 
 @query
