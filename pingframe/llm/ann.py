@@ -115,7 +115,13 @@ def _hashed(df: DataFrame, dtype: str, parts: int, asked: int, tables: int) -> D
 
 
 def _top(sims: np.ndarray, n: int) -> np.ndarray:
-    return np.argpartition(-sims, n - 1)[:n] if len(sims) > n else np.arange(len(sims))
+    """Places of the n largest, and of all that rounding may hide among them."""
+    return np.flatnonzero(sims >= np.partition(sims, -n)[-n] - 1e-9) if len(sims) > n else np.arange(len(sims))
+
+
+def _first(score: np.ndarray, ids: np.ndarray, n: int) -> np.ndarray:
+    """Places of the n best: largest score, then smallest id."""
+    return np.lexsort((ids, -score))[:n]
 
 
 def _searched(work: DataFrame, dtype: str, keep: int) -> DataFrame:
@@ -140,8 +146,9 @@ def _searched(work: DataFrame, dtype: str, keep: int) -> DataFrame:
                 continue
             at = np.concatenate(some)
             q = np.frombuffer(xs[i], dtype)
-            at = at[_top(unit_rows[at] @ _unit_rows([q.astype(np.float64)], len(q))[0, :len(q)], keep + 2)]
-            out += [(ids[i], int(own[j]), float(c)) for j, c in zip(at, cosines(raw[at], q))]
+            at = at[_top(unit_rows[at] @ _unit_rows([q.astype(np.float64)], len(q))[0, :len(q)], keep)]
+            score = cosines(raw[at], q)
+            out += [(ids[i], int(own[at[j]]), float(score[j])) for j in _first(score, own[at], keep)]
         return out
 
     def units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -179,7 +186,7 @@ def _scanned(rows: DataFrame, queries: DataFrame, dtype: str, keep: int) -> Data
                 for q, v in shared.value:
                     if len(v) == d:
                         c = cosines(x, np.asarray(v, dtype))
-                        found += [(q, ids[at[j]], float(c[j])) for j in _top(c, keep + 2)]
+                        found += [(q, ids[at[j]], float(c[j])) for j in _first(c, np.array([ids[i] for i in at]), keep)]
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*found), [pa.int64(), pa.int64(), pa.float64()])], ["query", "id", "score"]) if found else None
 
         return map_arrow(rows, scan, "query long, id long, score double")
