@@ -8,14 +8,14 @@ from collections.abc import Iterator
 
 import ahocorasick
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import map_arrow, small_batches, spare
 
 #: Errors allowed, as a share of the item's length in code points after folding.
 BUDGET = 0.05
-#: Items that fold to less than this many code points are too common to search for.
+#: Items that fold to less than this many code points are found as whole words without errors only.
 SHORTEST = 24
 #: Bytes of item texts that are sent to the tasks at a time; a larger benchmark is searched block by block.
 BLOCK_BYTES = 8 << 20
@@ -70,11 +70,11 @@ def best_within(masks: dict[str, int], m: int, window: str, k: int) -> tuple[int
 class Finder:
     """Items ready to be searched for: one automaton over all pieces, bit masks made when an item is first verified."""
 
-    def __init__(self, items: list[tuple[int, str]], budget: float = BUDGET):
-        self.items, self.masks, pieces = items, {}, {}
+    def __init__(self, items: list[tuple[int, str]], budget: float = BUDGET, shortest: int = SHORTEST):
+        self.items, self.masks, self.shortest, pieces = items, {}, shortest, {}
         self.k = []
         for n, (_, text) in enumerate(items):
-            k, parts = pieces_of(text, budget)
+            k, parts = pieces_of(text, budget if len(text) >= shortest else 0.0)
             self.k.append(k)
             for offset, piece in parts:
                 pieces.setdefault(piece, []).append((n, offset))
@@ -95,6 +95,10 @@ class Finder:
         found = []
         for n, starts in sorted(hits.items()):
             item, k, best, reached = self.items[n][1], self.k[n], None, -1
+            if len(item) < self.shortest:
+                ends = (s + len(item) for s in sorted(starts) if text[s - 1:s] in ("", " ") and text[s + len(item):s + len(item) + 1] in ("", " "))
+                found += [(n, 0, end) for end in [*ends][:1]]
+                continue
             if n not in self.masks:
                 self.masks[n] = masks_of(item)
             windows: list[list[int]] = []
@@ -115,19 +119,17 @@ class Finder:
         return found
 
 
-def item_blocks(benchmark: DataFrame, item: str = "item_id", text: str = "text", block_bytes: int = BLOCK_BYTES,
-                shortest: int = SHORTEST) -> Iterator[list[tuple[int, str]]]:
-    """The benchmark in blocks of bounded bytes: (id, folded text), read to the driver one block at a time.
+def item_blocks(benchmark: DataFrame, item: str = "item_id", text: str = "text", block_bytes: int = BLOCK_BYTES) -> Iterator[list[tuple[int, str]]]:
+    """The benchmark in blocks of bounded bytes: (id, folded text), read to the driver one block at a time, equal rows once.
 
-    Rows without text or id, and items shorter than `shortest` after folding,
-    are left out.
+    Rows without text or id, and items without any letter or digit, are left out.
     """
     block, size = [], 0
-    for row in benchmark.select(item, text).where(F.col(item).isNotNull() & F.col(text).isNotNull()).orderBy(item, text).toLocalIterator():
+    for row in benchmark.select(item, text).where(F.col(item).isNotNull() & F.col(text).isNotNull()).distinct().orderBy(item, text).toLocalIterator():
         t = folded(row[1])
-        if len(t) < shortest:
+        if not t:
             continue
-        if size >= block_bytes and block[-1][0] != row[0]:        # one id stays in one block
+        if size >= block_bytes:
             yield block
             block, size = [], 0
         block.append((row[0], t))
@@ -146,30 +148,44 @@ def with_matches(docs: DataFrame, benchmark: DataFrame, text: str = "text", name
     The whole text is searched.  The document table is passed once for each
     block of the benchmark, without a shuffle.
 
-    A null or empty text has no match; items shorter than `shortest` code
-    points, null items and an empty benchmark match nothing; equal items with
-    different ids are all named, repeated ids keep their nearest occurrence.
+    Items that fold to less than `shortest` code points are found without errors
+    as whole words only, as a few errors would make them anything.  A null or
+    empty text has no match; null items, items without any letter or digit and
+    an empty benchmark match nothing; equal items with different ids are all
+    named, repeated ids keep their nearest occurrence.
     All columns stay; one named `name` is replaced.
     """
     docs = docs.drop(name)
     out = docs.withColumn(name, F.expr("cast(array() as array<struct<item_id:bigint,distance:int,chars:int>>)"))
     small_batches(docs.sparkSession, 256)
-    for block in item_blocks(benchmark, item, "text", block_bytes, shortest):
+    for block in item_blocks(benchmark, item, "text", block_bytes):
         more = spare(out, "_more")[0]
-        out = _searched(out, docs.sparkSession.sparkContext.broadcast(block), text, more, budget)      # BLOCK_BYTES and one id at most
-        out = out.withColumn(name, F.concat(name, more)).drop(more)
+        out = _searched(out, docs.sparkSession.sparkContext.broadcast(block), text, more, budget, shortest)      # BLOCK_BYTES and one item at most
+        out = out.withColumn(name, _nearest(F.concat(name, more))).drop(more)
     return out
 
 
+def _nearest(matches: Column) -> Column:
+    """One match for each item, by item: the rows of an id may lie in two blocks of the benchmark."""
+    best = lambda k: F.array_min(F.transform(F.filter(matches, lambda m: m["item_id"] == k), lambda m: F.struct(m["distance"], m["chars"])))
+    ids = F.array_sort(F.array_distinct(F.transform(matches, lambda m: m["item_id"])))
+    return F.transform(ids, lambda k: F.struct(k.alias("item_id"), best(k)["distance"].alias("distance"), best(k)["chars"].alias("chars")))
+
+
+#: The finders of a worker, which serves many tasks: the latest few.
 _FINDERS: dict[str, Finder] = {}
 
 
-def _searched(docs: DataFrame, block, text: str, name: str, budget: float) -> DataFrame:
+def _searched(docs: DataFrame, block, text: str, name: str, budget: float, shortest: int) -> DataFrame:
     at, tag = docs.columns.index(text), uuid.uuid4().hex
     kind = pa.list_(pa.struct([("item_id", pa.int64()), ("distance", pa.int32()), ("chars", pa.int32())]))
 
     def search(batch: pa.RecordBatch) -> pa.RecordBatch:
-        finder = _FINDERS.get(tag) or _FINDERS.setdefault(tag, Finder(block.value, budget))
+        if tag not in _FINDERS:
+            while len(_FINDERS) >= 4:
+                _FINDERS.pop(next(iter(_FINDERS)))
+            _FINDERS[tag] = Finder(block.value, budget, shortest)
+        finder = _FINDERS[tag]
         rows = []
         for t in batch.column(at):
             best: dict[int, tuple[int, int]] = {}
