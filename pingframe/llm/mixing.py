@@ -149,3 +149,10 @@ def repeated(mixed: DataFrame) -> DataFrame:
     """The mix itself: each row of mix() as often as its `times` says."""
     copy = spare(mixed, "_copy")[0]
     return mixed.where("times > 0").withColumn(copy, F.explode(F.sequence(F.lit(1), F.col("times")))).drop(copy)
+
+
+def mixed_documents(docs: DataFrame, **options) -> DataFrame:
+    """The mix of the documents, with their own columns, also those named like mix()'s."""
+    own = [c for c in docs.columns if c.lower() in ("size", "source_size", "target", "times")]
+    kept = dict(zip(own, spare(docs, *[f"_own_{c}" for c in own])))
+    return repeated(mix(docs.withColumnsRenamed(kept), **options)).select(*[F.col(kept.get(c, c)).alias(c) for c in docs.columns])
