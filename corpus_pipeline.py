@@ -36,7 +36,7 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix of sources takes them."""
-    return mixing.repeated(mixing.mix(docs)).select(*docs.columns)
+    return mixing.mixed_documents(docs)
 
 
 def balance(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
