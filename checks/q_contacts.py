@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from pingframe.functions import scoring as S
+from pingframe.functions import text as T
 from pingframe.operators import filters as P
 from pingframe.operators import store, summaries
 from pingframe.operators.scale import ranked
@@ -252,9 +253,12 @@ def p6(s):
                     grab(r"violations:\*\* (\d+) of").alias("violations"))
 
 
-@query("u3_reviewed_union", "v_contacts", "SELECT id, review FROM v_contacts WHERE review IN ('confirmed', 'rejected')")
+@query("u3_reviewed_union", "v_contacts v_reviews", """
+SELECT id, status AS review, survey || '.jsf' AS source_path FROM v_contacts JOIN (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY contact_id ORDER BY reviewed_at DESC, seq DESC) AS r
+  FROM v_reviews) q WHERE r = 1 AND status IN ('confirmed', 'rejected')) x ON id = contact_id""")
 def u3(s):
-    return s.v_contacts.where(F.col("review").isin("confirmed", "rejected")).select("id", "review")
+    surveys = s.v_contacts.select("survey").distinct().withColumn("source_path", F.concat("survey", F.lit(".jsf")))
+    return store.reviewed_with_source(s.v_contacts, surveys, s.v_reviews).select("id", "review", "source_path")
 
 
 @query("u7_distinct_classes", "v_contacts", "SELECT DISTINCT cls FROM v_contacts")
@@ -268,12 +272,11 @@ def x24(s):
 
 
 @query("x35_answer_lines", "v_contacts", """
-SELECT id, concat(id, ': ', cls, ' (severity ', CAST(CAST(severity AS INT) AS STRING), '.0, conf ', review, ')') AS line
-FROM (SELECT * FROM v_contacts WHERE cls = 'tire' ORDER BY severity DESC, id LIMIT 20) q""")
+SELECT id, concat(id, ': ', cls, ' (severity ', CAST(severity AS STRING), ', confidence ', CAST(round(confidence, 1) AS STRING), '%)') AS line,
+  concat('length 2.5-', CAST(9 AS STRING), ' m') AS note FROM v_contacts WHERE cls = 'tire' AND length_m > 2.5 AND length_m < 9""")
 def x35(s):
-    top = P.top_contacts(s.v_contacts, 20, "severity", P.contact_filter(cls="tire"))
-    line = F.format_string("%s: %s (severity %s, conf %s)", "id", "cls", F.col("severity").cast("string"), "review")
-    return top.select("id", line.alias("line"))
+    top = s.v_contacts.where(P.contact_filter(cls="tire") & P.dim_filter("length", 2.5, 9.0))
+    return top.select("id", T.answer_line("id", "cls", "severity", F.round("confidence", 1)).alias("line"), F.lit(T.describe_range("length", 2.5, 9.0)).alias("note"))
 
 
 @query("w13_latest_status", "v_reviews", """

@@ -96,11 +96,15 @@ def j8(s):
 
 
 @query("u1_brain_union", "v_detections", """
-SELECT survey, side, count(*) AS n, count(DISTINCT det_id) AS ids FROM v_detections GROUP BY ALL""")
+WITH p AS (SELECT DISTINCT brain, survey, side, ping0, ping1, col0, col1 FROM v_detections), a AS (SELECT * EXCLUDE (brain) FROM p WHERE brain = 'A'), c AS (SELECT * EXCLUDE (brain) FROM p WHERE brain = 'C'),
+r AS (SELECT survey, side FROM v_detections WHERE brain = 'A'
+  UNION ALL SELECT survey, side FROM v_detections d WHERE brain = 'C' AND NOT EXISTS (SELECT 1 FROM a WHERE (a.survey, a.side, a.ping0, a.ping1, a.col0, a.col1) = (d.survey, d.side, d.ping0, d.ping1, d.col0, d.col1))
+  UNION ALL SELECT survey, side FROM p d WHERE brain = 'B' AND NOT EXISTS (SELECT 1 FROM (SELECT * FROM a UNION SELECT * FROM c) x
+    WHERE (x.survey, x.side, x.ping0, x.ping1, x.col0, x.col1) = (d.survey, d.side, d.ping0, d.ping1, d.col0, d.col1)))
+SELECT survey, side, count(*) AS n FROM r GROUP BY ALL""")
 def u1(s):
-    a, c, b = _abc(s)
-    u = a.unionByName(c).unionByName(b)
-    return u.groupBy("survey", "side").agg(F.count("*").alias("n"), F.count_distinct("det_id").alias("ids"))
+    """The three lists in one, with only equal boxes merged."""
+    return D.merge_brains(*_abc(s), iou=1.0).groupBy("survey", "side").agg(F.count("*").alias("n"))
 
 
 @query("g1_suppressed")

@@ -46,32 +46,25 @@ def x4(s):
 
 
 @query("x5_resolution_curve", "v_contacts", """
-WITH q AS (SELECT id, greatest(height_m, 0) AS a, depth_m + 10 AS s FROM v_contacts WHERE height_m IS NOT NULL),
+WITH q AS (SELECT id, greatest(height_m + 0.3717::DOUBLE, 0) AS a, depth_m + 10.0173::DOUBLE AS s FROM v_contacts),
 g AS (SELECT id, i, a, sqrt(greatest(s * s - a * a, 0)) * i / 24 AS ground FROM q, generate_series(0, 24) t(i))
-SELECT id, CAST(i AS INT) AS step, round(ground, 4) AS ground_m, round(radians(0.5) * sqrt(ground * ground + a * a), 6) AS along_m FROM g""")
+SELECT id, CAST(i AS INT) AS step, round_even(ground, 2) AS ground_range_m, round_even(sqrt(ground * ground + a * a), 2) AS slant_range_m,
+  round_even(radians(0.5) * sqrt(ground * ground + a * a), 4) AS along_track_m FROM g""")
 def x5(s):
-    q = s.v_contacts.where("height_m IS NOT NULL")
-    a, sl = F.col("height_m"), F.col("depth_m") + 10
-    mx = F.sqrt(F.greatest(sl * sl - a * a, F.lit(0.0)))
-    rows = q.select("id", a.alias("a"), mx.alias("mx"), F.inline(X.resolution_curve("height_m", F.col("depth_m") + 10)))
-    g = F.col("mx") * F.col("step") / 24
-    return rows.select("id", "step", F.round(g, 4).alias("ground_m"),
-                       r6(X.along_track_res(F.sqrt(g * g + F.col("a") * F.col("a")))).alias("along_m"))
+    rows = s.v_contacts.select("id", F.inline(X.resolution_curve(F.col("height_m") + 0.3717, F.col("depth_m") + 10.0173)))
+    return rows.select("id", "step", "ground_range_m", "slant_range_m", "along_track_m")
 
 
 @query("x6_shadow_round_trip", "v_contacts", """
-WITH q AS (SELECT id, greatest(depth_m / 4, 0.1) AS a, greatest(length_m, 0.1) AS x, height_m AS h0 FROM v_contacts WHERE height_m IS NOT NULL),
-h AS (SELECT *, greatest(least(h0, 0.9 * a), 0) AS h FROM q)
-SELECT id, round(h, 7) AS height, abs(h0 - h) > 1e-9 AS clamped, round(CASE WHEN h <= 0 THEN x ELSE x * a / (a - h) END, 4) AS shadow_end,
-  round(degrees(atan2(a, x)), 4) AS grazing FROM h""")
+WITH q AS (SELECT id, greatest(depth_m / 4, 0.1) AS a, greatest(length_m, 0.1) AS x, height_m + 0.00013::DOUBLE AS h0 FROM v_contacts WHERE height_m IS NOT NULL),
+h AS (SELECT *, greatest(least(h0, 0.9 * a), 0) AS h FROM q), e AS (SELECT *, CASE WHEN h <= 0 THEN x ELSE x * a / (a - h) END AS x_end FROM h)
+SELECT id, round_even(h, 3) AS height_m, abs(h0 - h) > 1e-9 AS height_clamped, round_even(x, 3) AS shadow_start_m, round_even(x_end, 3) AS shadow_end_m,
+  round_even(x_end - x, 3) AS shadow_length_m, round_even(CASE WHEN h <= 0 THEN 0 ELSE a * (x_end - x) / x_end END, 3) AS recovered_height_m,
+  round_even(degrees(atan2(a, x)), 2) AS grazing_angle_deg FROM e""")
 def x6(s):
-    c = s.v_contacts.where("height_m IS NOT NULL").withColumn("a", F.greatest(F.col("depth_m") / 4, F.lit(0.1)))
-    rt = X.shadow_round_trip(F.col("depth_m") / 4, "height_m", "length_m")
-    x, a = F.greatest("length_m", F.lit(0.1)), F.col("a")
-    h = F.greatest(F.least(F.col("height_m"), a * 0.9), F.lit(0.0))
-    return c.select("id", F.round(h, 7).alias("height"), rt["height_clamped"].alias("clamped"),
-                    F.round(F.when(h <= 0, x).otherwise(x * a / (a - h)), 4).alias("shadow_end"),
-                    F.round(F.degrees(F.atan2(a, x)), 4).alias("grazing"))
+    c = s.v_contacts.where("height_m IS NOT NULL")
+    rt = X.shadow_round_trip(F.col("depth_m") / 4, F.col("height_m") + 0.00013, "length_m")
+    return c.select("id", *[rt[n].alias(n) for n in ("height_m", "height_clamped", "shadow_start_m", "shadow_end_m", "shadow_length_m", "recovered_height_m", "grazing_angle_deg")])
 
 
 @query("x7_pixel_metres", "v_contacts", """

@@ -6,11 +6,13 @@ from pyspark.sql import functions as F
 
 from pingframe.functions import boxes as B
 from pingframe.functions import geometry as X
+from pingframe.functions.geodesy import heading_or_course
 from pingframe.operators.store import with_log_state
 from pingframe.session import ensure_checkpoint_dir
 from pingframe.sources import annotations as A
 from pingframe.sources import logs as L
 from pingframe.streaming import live as ST
+from pingframe.streaming import versions as V
 
 from .registry import query
 from .sqltext import dist
@@ -44,45 +46,118 @@ def st2(s):
 
 
 @query("j25_overlap_duplicates", "v_contacts", f"""
-WITH {WIN} SELECT a.id AS a_id, b.id AS b_id, round({dist('a.lat', 'a.lon', 'b.lat', 'b.lon')}, 3) AS d FROM w a JOIN w b ON a.survey = b.survey AND a.cls = b.cls
-  AND a.win < b.win AND a.ping1 >= b.window_start AND abs(a.lat - b.lat) < 0.0002 AND abs(a.lon - b.lon) < 0.0002 WHERE {dist('a.lat', 'a.lon', 'b.lat', 'b.lon')} <= 10""")
+WITH {WIN}, c AS (SELECT *, CAST(floor(lat / 0.0002) AS BIGINT) AS cy, CAST(floor(lon / 0.0002) AS BIGINT) AS cx FROM w),
+n AS (SELECT c.*, cy + dy AS ny, cx + dx AS nx FROM c, (SELECT unnest([-1, 0, 1]) AS dy) y, (SELECT unnest([-1, 0, 1]) AS dx) x)
+SELECT a.id AS a_id, b.id AS b_id, round({dist('a.lat', 'a.lon', 'b.lat', 'b.lon')}, 3) AS d FROM n a JOIN c b ON a.survey = b.survey AND a.cls = b.cls AND a.ny = b.cy AND a.nx = b.cx
+  AND a.win < b.win AND a.ping1 >= b.window_start WHERE {dist('a.lat', 'a.lon', 'b.lat', 'b.lon')} <= 10""")
 def j25(s):
     return ST.overlap_pairs(window_contacts(s)).select("a_id", "b_id", F.round("distance_m", 3).alias("d"))
 
 
+def _folder(s, name):
+    """A new folder on shared storage for a run."""
+    return f"{ensure_checkpoint_dir(s.spark)}/{name}-{uuid.uuid4().hex}"
+
+
+_LIVE: dict[tuple, str] = {}
+
+
 def live_table(s):
-    """Run the stream over the events file and return (contact table, progress table)."""
+    """The folder of the table that the stream over the events file makes; the queries of a session share one run."""
+    key = (s.spark.sparkContext.applicationId, s.sf_dir)
+    if key not in _LIVE:
+        _LIVE[key] = _run_live(s)
+    return _LIVE[key]
+
+
+def _run_live(s):
     from .views import VIEWS, read
     schema = read(s.spark, s.sf_dir, "events").schema
     stream = s.spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(s.sf_dir)
     stream.createOrReplaceTempView("_events_stream")
     c = s.spark.sql(VIEWS["v_contacts"][1].replace("FROM events", "FROM _events_stream"))
     w = ST.with_windows(c.withColumn("ping", F.col("ping0")))
-    rows = w.select("survey", F.col("id").alias("source_id"), "cls", "lat", "lon", F.col("ping0").cast("long"), F.col("ping1").cast("long"),
-                    "confidence", "seq", F.col("window_start").cast("long"))
-    root = f"{ensure_checkpoint_dir(s.spark)}/live-{uuid.uuid4().hex}"          # shared storage, a new folder per run
-    q = ST.run_live(rows, f"{root}/contacts", f"{root}/ckpt", progress=f"{root}/progress")
-    q.awaitTermination()
-    return s.spark.read.parquet(f"{root}/contacts"), s.spark.read.parquet(f"{root}/progress")
+    rows = w.select(*[F.col(k) for k in c.columns if k not in ("id", "ping0", "ping1")], F.col("id").alias("source_id"), F.col("ping0").cast("long"), F.col("ping1").cast("long"), F.col("window_start").cast("long"))
+    root = _folder(s, "live")
+    ST.run_live(rows, f"{root}/contacts", f"{root}/ckpt").awaitTermination()
+    return f"{root}/contacts"
 
 
 @query("st3_live_contacts")
 def st3(s):
-    return live_table(s)[0].select("survey", "id", "source_id", "cls", "ping0", "ping1", "confidence")
+    return V.read_live(s.spark, live_table(s)).select("survey", "id", "source_id", "cls", "lat", "lon", "ping0", "ping1", "confidence", "severity", "height_m", "length_m", "review")
 
 
-@query("st4_live_sources", "v_contacts", "SELECT survey, true AS unique_ids, true AS known_sources FROM v_contacts GROUP BY survey")
+@query("st4_live_sources", "v_contacts", f"""
+WITH {WIN} SELECT w.survey, count(DISTINCT w.id) > 0 AS has_contacts, true AS unique_ids, 0::BIGINT AS strangers FROM w GROUP BY w.survey""")
 def st4(s):
-    t = live_table(s)[0].withColumn("survey", F.col("survey").cast("string"))
-    known = s.v_contacts.select(F.col("id").alias("source_id"), F.lit(True).alias("known"))
-    j = t.join(known, "source_id", "left")
-    return j.groupBy("survey").agg((F.count_distinct("id") == F.count("*")).alias("unique_ids"), F.coalesce(F.every("known"), F.lit(False)).alias("known_sources"))
+    t = V.read_live(s.spark, live_table(s))
+    seen = window_contacts(s).select("survey", F.col("id").alias("source_id"), F.col("window_start").cast("long"), F.lit(1).alias("known"))
+    j = t.join(seen, ["survey", "source_id", "window_start"], "left")
+    return j.groupBy("survey").agg((F.count("*") > 0).alias("has_contacts"), (F.count_distinct("id") == F.count("*")).alias("unique_ids"), F.count_if(F.col("known").isNull()).alias("strangers"))
 
 
 @query("st5_progress", "v_contacts", "SELECT survey, CAST((max(ping0) // 160) * 160 + 200 AS BIGINT) AS done_pings FROM v_contacts GROUP BY survey")
 def st5(s):
-    p = ST.progress_so_far(live_table(s)[1])
-    return p.select("survey", "done_pings")
+    p = s.spark.read.parquet(f"{live_table(s)}/progress")
+    return ST.progress_so_far(p).select("survey", "done_pings")
+
+
+@query("st7_throughput", "v_contacts", f"""
+WITH {WIN} SELECT count(*) AS sightings, (SELECT count(*) FROM (SELECT DISTINCT survey, win FROM w) q) AS windows, true AS timed FROM w""")
+def st7(s):
+    table = live_table(s)
+    windows = s.spark.read.parquet(f"{table}/progress").agg(F.sum("windows").alias("windows"))
+    figures = ST.throughput(s.spark.read.parquet(f"{table}/throughput"))
+    return figures.crossJoin(windows).select("sightings", "windows", (F.col("sightings_per_s") > 0).alias("timed"))     # one row each
+
+
+NAMED = "CASE survey WHEN 'S0' THEN '007' WHEN 'S1' THEN 'line:01' ELSE survey END"
+
+
+def versioned(s):
+    """Contacts under awkward survey names, a second batch of changed ones, and a third that repeats the second."""
+    path = _folder(s, "versions")
+    V.start_run(s.spark, path, "first")
+    c = s.v_contacts.select("id", F.expr(NAMED).alias("survey"), "confidence", "seq")
+    changed = c.where("seq % 3 = 0").withColumn("confidence", F.col("confidence") + 100)
+    V.append_versions(path, 1, 0, c.where("seq % 2 = 0"))
+    V.append_versions(path, 1, 1, changed.limit(0))
+    V.append_versions(path, 1, 1, changed)
+    return path
+
+
+@query("s15_versions", "v_contacts", f"""
+SELECT id, {NAMED} AS survey, round(CASE WHEN seq % 3 = 0 THEN confidence + 100 ELSE confidence END, 6) AS confidence FROM v_contacts WHERE seq % 2 = 0 OR seq % 3 = 0""")
+def s15_versions(s):
+    path = versioned(s)
+    V.compact(s.spark, path, 1)
+    return V.read_live(s.spark, path).select("id", "survey", F.round("confidence", 6).alias("confidence"))
+
+
+@query("s16_new_run", "v_contacts", f"""
+SELECT id, {NAMED} AS survey FROM v_contacts WHERE CASE survey WHEN 'S0' THEN false WHEN 'S1' THEN seq % 5 = 0 ELSE seq % 2 = 0 OR seq % 3 = 0 END""")
+def s16_new_run(s):
+    """A new run clears one survey and replaces another; the rest stands."""
+    path = versioned(s)
+    run = V.start_run(s.spark, path, "second", ["007"])
+    V.append_versions(path, run, 0, s.v_contacts.where("survey = 'S1' AND seq % 5 = 0").select("id", F.expr(NAMED).alias("survey"), "confidence", "seq"))
+    return V.read_live(s.spark, path).select("id", "survey")
+
+
+@query("st9_late_pings", "v_contacts", """
+WITH p AS (SELECT id, survey, detected_at AS ts, seq % 4 AS arrived FROM v_contacts),
+m AS (SELECT x.survey, x.arrived, max(y.ts) AS mark FROM (SELECT DISTINCT survey, arrived FROM p) x JOIN p y ON y.survey = x.survey AND y.arrived < x.arrived GROUP BY ALL)
+SELECT id, coalesce(p.ts < mark - INTERVAL 864000 SECOND, false) AS late FROM p LEFT JOIN m USING (survey, arrived)""")
+def st9(s):
+    c = s.v_contacts.select("id", "survey", F.col("detected_at").alias("ts"), (F.col("seq") % 4).alias("arrived"))
+    root = _folder(s, "pings")
+    for k in range(4):
+        c.where(F.col("arrived") == k).drop("arrived").coalesce(1).write.parquet(f"{root}/in/{k}")
+    stream = s.spark.readStream.schema("id string, survey string, ts timestamp_ntz" if dict(c.dtypes)["ts"] == "timestamp_ntz" else "id string, survey string, ts timestamp")
+    ST.run_pings(stream.option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(f"{root}/in"), f"{root}/out", f"{root}/ckpt", 864_000.0).awaitTermination()
+    part = lambda n, late: s.spark.read.parquet(f"{root}/out/{n}").select("id", F.lit(late).alias("late"))
+    return part("on_time", False).union(part("late", True))
 
 
 @query("s6_declared_track", "v_contacts", """
@@ -134,13 +209,12 @@ def s5(s):
 
 
 @query("x11_heading_fallback", "v_contacts", """
-SELECT id, round((CASE WHEN seq % 3 = 0 THEN severity * 5 ELSE confidence * 4 END % 360)::DOUBLE, 6) AS heading, round(depth_m * 0.3048, 6) AS metres FROM v_contacts""")
+SELECT id, round((degrees(CASE WHEN seq % 3 = 0 THEN severity / 5 ELSE confidence / 4 - 8 END) % 360 + 360)::DOUBLE % 360, 6) AS heading FROM v_contacts""")
 def x11(s):
-    head = F.when(F.col("seq") % 3 != 0, F.col("confidence") * 4).otherwise(0.0)
-    fallback = F.when(F.col("seq") % 3 == 0, F.col("severity") * 5).otherwise(F.col("confidence") * 4)
-    c = s.v_contacts.withColumns({"h": head, "course": fallback})
-    return c.select("id", F.round(F.pmod(F.when(F.col("h") != 0, F.col("h")).otherwise(F.col("course")), F.lit(360.0)), 6).alias("heading"),
-                    F.round(F.col("depth_m") * 0.3048, 6).alias("metres"))
+    head = F.when(F.col("seq") % 3 != 0, F.col("confidence") / 4 - 8).otherwise(0.0)
+    course = F.when(F.col("seq") % 3 == 0, F.col("severity") / 5).otherwise(F.col("confidence") / 4 - 8)
+    c = s.v_contacts.select("id", head.alias("h"), course.alias("course"))
+    return c.select("id", F.round(heading_or_course("h", "course"), 6).alias("heading"))
 
 
 @query("x29_chip_windows", "v_contacts", """
@@ -216,10 +290,9 @@ def f18(s):
 
 
 @query("u6_mixed_sources", "v_contacts v_detections", """
-SELECT source, count(*) AS n FROM (SELECT 'contacts' AS source, cls FROM v_contacts UNION ALL SELECT 'detections', cls FROM v_detections) q GROUP BY source""")
+SELECT source, cls, count(*) AS n FROM (SELECT 'contacts' AS source, cls FROM v_contacts UNION ALL SELECT 'detections', cls FROM v_detections) q GROUP BY source, cls""")
 def u6(s):
-    a = s.v_contacts.select(F.lit("contacts").alias("source"), "cls")
-    return a.unionByName(s.v_detections.select(F.lit("detections").alias("source"), "cls")).groupBy("source").agg(F.count("*").alias("n"))
+    return A.mixed_sources({"contacts": s.v_contacts, "detections": s.v_detections}, ["cls"]).groupBy("source", "cls").agg(F.count("*").alias("n"))
 
 
 @query("j21_image_pairs", "v_contacts", """

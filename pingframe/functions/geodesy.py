@@ -175,3 +175,9 @@ def declared_track(ping: ColumnLike, lat0: ColumnLike, lon0: ColumnLike, heading
     return F.struct(
         (dbl(lat0) + along * F.cos(b) / EARTH_M_PER_DEG_LAT).alias("lat"),
         (dbl(lon0) + along * F.sin(b) / (EARTH_M_PER_DEG_LAT * F.cos(F.radians(dbl(lat0))))).alias("lon"))
+
+
+def heading_or_course(heading_rad: ColumnLike, course_rad: ColumnLike) -> Column:
+    """Heading in degrees from 0 to 360; a heading of exactly 0 was not measured, and the course takes its place."""
+    h = col(heading_rad)
+    return F.pmod(F.degrees(F.when(h != 0, h).otherwise(col(course_rad)).cast("double")), F.lit(360.0))

@@ -189,3 +189,16 @@ def review_labels(reviewed: DataFrame, shape: DataFrame, chip: int = 640) -> Dat
     line = label_of_box(cid, *BOX, "chip.row0", "chip.col0", "chip.h", "chip.w")
     ok = ~F.col("exported_as").startswith("SKIP")
     return r.withColumn("line", F.when(ok, F.when(F.col("review") == "confirmed", line).otherwise("")))
+
+
+def mixed_sources(sources: dict[str, DataFrame], columns: Sequence[str]) -> DataFrame:
+    """One training set from several sources, each row with its `source`; a source that lacks a column is an error, its further ones stay out."""
+    out = None
+    for name, rows in sources.items():
+        if missing := [c for c in columns if c not in rows.columns]:
+            raise ValueError(f"source {name} lacks {missing}")
+        part = rows.select(F.lit(name).alias("source"), *columns)
+        out = part if out is None else out.unionByName(part)
+    if out is None:
+        raise ValueError("a training set needs a source")
+    return out

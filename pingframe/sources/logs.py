@@ -174,10 +174,9 @@ def slx_tables(frames: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     traces = padded(kept.select("survey", "ping", F.explode(sides).alias("s")).select("survey", "s.side", "ping", "s.samples"))
     pos = G.sl_mercator_to_lonlat("x", "y")
     base = F.when(F.col("fmt") == 3, F.col("base")).otherwise(0)
-    course = F.when(F.col("heading") != 0, F.col("heading")).otherwise(F.col("course")).cast("double")
     nav = kept.select(
         "survey", "ping", (base + F.col("time_ms") / 1000.0).alias("time"), pos["lat"].alias("lat"), pos["lon"].alias("lon"),
-        F.pmod(F.degrees(course), F.lit(360.0)).alias("heading"), (F.col("depth_ft").cast("double") * K.FEET_TO_M).alias("altitude"), F.lit(0.0).alias("sensor_depth"),
+        G.heading_or_course("heading", "course").alias("heading"), (F.col("depth_ft").cast("double") * K.FEET_TO_M).alias("altitude"), F.lit(0.0).alias("sensor_depth"),
         F.lit(1500.0).alias("sound_velocity"), (F.col("lower_ft").cast("double") * K.FEET_TO_M).alias("slant_range"),
         (F.col("speed_kn").cast("double") * K.KNOTS_TO_MPS).alias("speed"), F.lit(0.0).alias("layback"))
     return traces, nav, errors
