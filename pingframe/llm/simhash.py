@@ -16,6 +16,10 @@ from .common import components, map_arrow, small_batches, spare, stored
 SHINGLE = 3
 SEED = 42
 RADIUS = 3
+#: Of the stage that links texts by Jaccard similarity: bits in which fingerprints may differ to be tried first; texts sampled for common shingles, and those at most.
+WIDE = 7
+SAMPLE = 4096
+COMMON = 1 << 16
 #: Fingerprints in a tile of the comparison; shingles whose bits are counted at once.
 TILE = 4096
 CHUNK = 1 << 16
@@ -216,50 +220,105 @@ def shingles(text: bytes | None, shingle: int = 5, seed: int = SEED) -> np.ndarr
     return np.unique(np.fromiter((digest(join(words[i:i + shingle]), seed) for i in range(n)), np.uint64, n))
 
 
-def _sets(texts: DataFrame, heads: bool) -> DataFrame:
-    """(id, n, s) from (id, text): the number of a text's shingles and its shingles, or the first fifth and one more of them."""
+def _bits(hashes: np.ndarray) -> int:
+    """The fingerprint of a set of shingles as a signed long."""
+    ones = np.zeros(64, np.int64)
+    for start in range(0, len(hashes), CHUNK):
+        ones += np.unpackbits(hashes[start:start + CHUNK].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view(np.int64)[0])
+
+
+def _head(hashes: np.ndarray, common: np.ndarray) -> np.ndarray:
+    """The first fifth of a set and one more, common shingles last, else by hash; sets with a similarity of 0.8 share one of these."""
+    if not len(hashes):
+        return hashes
+    last = common[np.minimum(np.searchsorted(common, hashes), len(common) - 1)] == hashes if len(common) else np.zeros(len(hashes), bool)
+    return np.concatenate([hashes[~last], hashes[last]])[:len(hashes) - (4 * len(hashes) + 4) // 5 + 1]
+
+
+def _sets(texts: DataFrame) -> DataFrame:
+    """(id, s) from (id, text): the shingles of a text."""
     def spread(batch: pa.RecordBatch) -> pa.RecordBatch:
         held = [shingles(t.as_py()).view(np.int64) for t in batch.column(1).cast(pa.binary())]
-        some = [x[:len(x) - (4 * len(x) + 4) // 5 + 1] if heads else x for x in held]
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in held], pa.int32()), pa.array(some, pa.list_(pa.int64()))], ["id", "n", "s"])
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(held, pa.list_(pa.int64()))], ["id", "s"])
 
-    return map_arrow(texts, spread, "id long, n int, s array<long>")
+    return map_arrow(texts, spread, "id long, s array<long>")
 
 
-def similar(texts: DataFrame) -> DataFrame:
-    """(src, dst) of all pairs of rows (id, text) whose sets of shingles have a Jaccard similarity of 0.8 at least.
+def common_shingles(docs: DataFrame, text: str = "text", sample: int = SAMPLE, most: int = COMMON) -> np.ndarray:
+    """Hashes of the shingles that four of some `sample` texts have, `most` at most.
 
-    Of sets so alike each holds 4 of 5 of the other's elements at least, so they
-    share one of the first fifth and one more of their elements: such pairs are
-    the candidates, none is missed, and their whole sets are compared.
+    They only order shingles, so that passages which very many texts share lead
+    to no candidates; whatever the sample holds, the result is the same.
     """
-    heads = _sets(texts, True).select("id", "n", F.explode("s").alias("x")).withColumn("m", F.count(F.lit(1)).over(Window.partitionBy("x")))
-    heads = stored(heads.where("m > 1").drop("m"), "similar-heads")
-    a, b = heads.select("x", F.col("id").alias("src"), F.col("n").alias("n1")), heads.select("x", F.col("id").alias("dst"), F.col("n").alias("n2"))
-    pairs = stored(a.join(b, "x").where("src < dst AND 5L * n1 >= 4L * n2 AND 5L * n2 >= 4L * n1").select("src", "dst").distinct(), "similar-pairs")
+    some = docs.select(F.lit(0).cast("long"), F.col(text)).where(F.pmod(F.xxhash64(text), F.lit(max(1, docs.count()))) < sample).distinct()
+    found = _sets(some).select(F.explode("s").alias("x")).groupBy("x").agg(F.count(F.lit(1)).alias("n")).where("n >= 4")
+    return np.sort(np.array([r.x for r in found.orderBy(F.desc("n"), "x").limit(most).collect()], np.int64).view(np.uint64))
+
+
+def _confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """Those of the pairs (src, dst) of texts (id, text) whose sets of shingles have a Jaccard similarity of 0.8 at least."""
     needed = pairs.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
-    sets = stored(_sets(texts.join(needed, "id", "left_semi"), False), "similar-shingles")
+    sets = stored(_sets(texts.join(needed, "id", "left_semi")), "similar-sets")
     both = (pairs.join(sets.select(F.col("id").alias("src"), F.col("s").alias("s1")), "src").join(sets.select(F.col("id").alias("dst"), F.col("s").alias("s2")), "dst")
             .select("src", "dst", (F.size("s1") + F.size("s2")).alias("n"), F.size(F.array_intersect("s1", "s2")).alias("shared")))
-    return both.where("5L * shared >= 4L * (n - shared)").select("src", "dst")
+    return stored(both.where("9L * shared >= 4L * n").select("src", "dst"), "similar-links")
+
+
+def _labelled(marked: DataFrame, edges: DataFrame) -> DataFrame:
+    """(id, label) of the texts that have a link."""
+    linked = edges.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
+    return stored(components(linked, edges).select(F.col("node").alias("id"), "label"), "similar-labels")
+
+
+def similar(marked: DataFrame, radius: int = WIDE) -> DataFrame:
+    """(src, dst) that connect all rows (id, text, n, fp, head) whose sets of shingles have a Jaccard similarity of 0.8 at least.
+
+    First the fingerprints are linked by tiles, within `radius` bits, and the
+    links, a spanning forest, confirmed by the sets themselves: that joins most
+    near copies, in groups of any size, by a row for each text.  What it misses
+    lies between two groups: sets so alike share one of their heads, and, with
+    shared as in 9 * shared >= 4 * (n1 + n2), at least as many heads as the
+    larger one's head would lose otherwise.  Texts of different groups that do
+    are confirmed as well, so no link is missed.
+    """
+    texts = marked.select("id", "text")
+    first = stored(marked.groupBy("fp").agg(F.min("id").alias("rep")), "similar-fingerprints")
+    near = links(first.select("fp"), radius)
+    reps = near.join(first.select(F.col("fp").alias("src"), F.col("rep").alias("a")), "src").join(first.select(F.col("fp").alias("dst"), F.col("rep").alias("b")), "dst").select(F.col("a").alias("src"), F.col("b").alias("dst"))
+    alike = marked.select("id", "fp").join(first, "fp").where("id <> rep").select(F.col("rep").alias("src"), F.col("id").alias("dst"))
+    sure = _confirmed(stored(reps.unionByName(alike).distinct(), "similar-candidates"), texts)
+    label = _labelled(marked, sure)
+    heads = marked.select("id", "n", F.explode("head").alias("x")).join(label, "id", "left").select("id", "n", "x", F.coalesce("label", "id").alias("g"))
+    heads = stored(heads, "similar-heads")
+    between = heads.groupBy("x").agg(F.min("g").alias("low"), F.max("g").alias("high")).where("low < high").select("x")
+    heads = stored(heads.join(between, "x", "left_semi"), "similar-between")
+    a, b = heads.selectExpr("x", "id AS src", "n AS n1", "g AS g1"), heads.selectExpr("x", "id AS dst", "n AS n2", "g AS g2")
+    met = a.join(b, "x").where("g1 < g2 AND 5L * n1 >= 4L * n2 AND 5L * n2 >= 4L * n1")
+    enough = "c >= ceil(4 * (n1 + n2) / 9) + 1 - ceil(4 * greatest(n1, n2) / 5)"
+    pairs = met.groupBy("src", "dst", "n1", "n2").agg(F.count(F.lit(1)).alias("c")).where(enough).select("src", "dst")
+    return sure.unionByName(_confirmed(stored(pairs, "similar-pairs"), texts))
 
 
 def keep_one_similar(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """keep_one() with documents linked by a Jaccard similarity of their five-word shingles of 0.8 at least; texts without words are alike."""
-    name, rank = spare(docs, "_set", "_rank")
+    name, n, fp, head, rank = spare(docs, "_set", "_n", "_fp", "_head", "_rank")
     small_batches(docs.sparkSession, 512)
-    at = docs.columns.index(text)
+    at, common = docs.columns.index(text), common_shingles(docs, text)
 
     def add(batch: pa.RecordBatch) -> pa.RecordBatch:
-        ids = np.fromiter((xxhash.xxh64_intdigest(shingles(t.as_py()).tobytes()) for t in batch.column(at).cast(pa.binary())), np.uint64, batch.num_rows)
-        return pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids.view(np.int64))], [*batch.schema.names, name])
+        held = [shingles(t.as_py()) for t in batch.column(at).cast(pa.binary())]
+        ids = np.fromiter((xxhash.xxh64_intdigest(x.tobytes()) for x in held), np.uint64, batch.num_rows)
+        more = [pa.array(ids.view(np.int64)), pa.array([len(x) for x in held], pa.int32()), pa.array([_bits(x) for x in held], pa.int64()),
+                pa.array([_head(x, common).view(np.int64) for x in held], pa.list_(pa.int64()))]
+        return pa.RecordBatch.from_arrays([*batch.columns, *more], [*batch.schema.names, name, n, fp, head])
 
     best = Window.partitionBy(name).orderBy(F.col(key).asc_nulls_last(), F.col(text))
-    marked = map_arrow(docs, add, docs.select("*", F.lit(0).cast("long").alias(name)).schema)
+    long = F.lit(0).cast("long")
+    marked = map_arrow(docs, add, docs.select("*", long.alias(name), F.lit(0).alias(n), long.alias(fp), F.array(long).alias(head)).schema)
     marked = stored(marked.withColumn(rank, F.row_number().over(best)).where(F.col(rank) == 1).drop(rank), "similar-documents")     # equal sets first
-    edges = stored(similar(marked.select(F.col(name).alias("id"), F.col(text).alias("text"))), "similar-links")
-    linked = edges.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
-    label = components(linked, edges).select(F.col("node").alias(name), "label")
+    edges = similar(marked.select(F.col(name).alias("id"), F.col(text).alias("text"), F.col(n).alias("n"), F.col(fp).alias("fp"), F.col(head).alias("head")))
+    label = _labelled(marked, edges).select(F.col("id").alias(name), "label")
     place = F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("id"), F.col(name).alias("f"))
     grouped = stored(marked.select(key, name).join(label, name).select("label", name, place.alias("m")), "similar-groups")
     dropped = grouped.join(grouped.groupBy("label").agg(F.min("m").alias("least")), "label").where("m <> least").select(name)
