@@ -51,3 +51,35 @@ def test_the_mix_keeps_columns_named_like_its_own(spark):
     out = mixing.mixed_documents(docs)
     assert out.dtypes == docs.dtypes and out.count() > 0
     assert out.where("Size <> concat('z', doc_id) OR target <> 'x' OR times <> 1.5").count() == 0
+
+
+def test_common_passages_and_groups_change_no_link(spark, monkeypatch):
+    """A passage in every text and a group of near copies: the same groups for any sample, any list of common shingles and any radius."""
+    import random
+
+    from pingframe.llm import simhash
+
+    r = random.Random(7)
+    word = lambda: "".join(r.choice("aeioulmnrst") for _ in range(r.randint(2, 7)))
+    passage, texts = [word() for _ in range(60)], []
+    for _ in range(25):
+        texts.append([word() for _ in range(r.randint(30, 200))] + passage)
+    for n in (90, 200):
+        base = [word() for _ in range(n)]
+        for _ in range(30):
+            t = list(base)
+            for i in r.sample(range(n), r.choice([0, 1, 2, 3])):
+                t[i] = word()
+            texts.append(t)
+    sets = [frozenset(tuple(w[i:i + 5]) for i in range(len(w) - 4)) for w in texts]
+    label = list(range(len(texts)))
+    for _ in range(6):
+        for i in range(len(texts)):
+            for j in range(i):
+                if 9 * len(sets[i] & sets[j]) >= 4 * (len(sets[i]) + len(sets[j])):
+                    label[i] = label[j] = min(label[i], label[j])
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string").repartition(4)
+    for common, radius in ((1 << 16, 7), (0, 3), (10, 0)):
+        monkeypatch.setattr(simhash.common_shingles, "__defaults__", ("text", 4096, common))
+        monkeypatch.setattr(simhash.similar, "__defaults__", (radius,))
+        assert sorted(x.doc_id for x in simhash.keep_one_similar(docs).collect()) == sorted(set(label))
