@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -55,14 +55,15 @@ def list_files(spark: SparkSession, path: str, *suffixes: str) -> DataFrame:
     return read.load(path).withColumn("suffix", F.lower(F.regexp_extract("path", r"(\.[^./]+)$", 1)))
 
 
-def scan_surveys(spark: SparkSession, path: str, range_bytes: int = R.RANGE) -> tuple[DataFrame, DataFrame, DataFrame]:
+def scan_surveys(spark: SparkSession, path: str, range_bytes: int = R.RANGE, geometry: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(traces, nav, quarantine) of a mixed archive; files of no known format are only listed, never read.
 
     Files of the range formats are read in parts of `range_bytes`, however large
-    they are.
+    they are.  Pictures are read by their declared `geometry`, see
+    `ingest_images`; `nav_source` tells a declared line from a recorded one.
     """
     companions = [".son", ".idx"]
-    bad = list_files(spark, path).where(~F.col("suffix").isin(*FORMATS, *companions)).select("path", F.lit("unknown format").alias("error"))
+    bad = list_files(spark, path).where(~F.col("suffix").isin(*FORMATS, *companions, *IMAGES)).select("path", F.lit("unknown format").alias("error"))
     traces = nav = None
     for fn in dict.fromkeys(FORMATS.values()):
         mine = [s for s, f in FORMATS.items() if f is fn]
@@ -73,6 +74,10 @@ def scan_surveys(spark: SparkSession, path: str, range_bytes: int = R.RANGE) ->
         traces = t if traces is None else traces.unionByName(t)
         nav = n if nav is None else nav.unionByName(n)
         bad = bad.unionByName(e)
+    nav = nav.withColumn("nav_source", F.lit("recorded"))
+    if not list_files(spark, path, *IMAGES).select("path").isEmpty():
+        t, n, e = ingest_images(spark, path, geometry)
+        traces, nav, bad = traces.unionByName(t), nav.unionByName(n), bad.unionByName(e)
     return traces, nav, bad
 
 
@@ -220,23 +225,54 @@ def ingest_son(files: DataFrame, pixel_size_m: float = 0.02, sound_velocity: flo
 
 # ---- images, decoded frames, mosaics -----------------------------------------
 
-def image_rows(images: DataFrame) -> DataFrame:
-    """Rows of Spark's image source as grey levels: (path, ping, width, pixels)."""
-    i = F.col("image")
+IMAGES = [".png", ".jpg", ".jpeg", ".bmp", ".tif"]
+GEOMETRY = ("survey string, combined boolean, lat0 double, lon0 double, heading double, speed double, dt double, altitude double, slant_range double, "
+            "start_time double, sensor_depth double")
 
-    @F.pandas_udf("array<array<double>>")
-    def grey(height: pd.Series, width: pd.Series, channels: pd.Series, data: pd.Series) -> pd.Series:
-        import numpy as np
-        out = []
-        for h, w, c, d in zip(height, width, channels, data):
-            m = np.frombuffer(bytes(d), np.uint8).reshape(h, w, c).astype(float)
-            # blue, green, red order; the usual luma weights, rounded as an 8-bit converter does
-            g = m[..., 0] if c == 1 else np.floor((m[..., 2] * 19595 + m[..., 1] * 38470 + m[..., 0] * 7471 + 32768) / 65536)
-            out.append([r.tolist() for r in g])
-        return pd.Series(out)
 
-    rows = images.select(i["origin"].alias("path"), i["width"].alias("width"), grey(i["height"], i["width"], i["nChannels"], i["data"]).alias("m"))
-    return rows.select("path", "width", F.posexplode("m").alias("ping", "pixels"))
+def image_rows(images: DataFrame) -> DataFrame:
+    """Rows of Spark's image source as grey levels: (path, ping, width, pixels).
+
+    A picture is cut into its rows before it leaves the image source, so what
+    follows handles a row at a time, however large the picture is.
+    """
+    i = F.col("image")
+    w, c = i["width"], i["nChannels"]
+    rows = F.transform(F.sequence(F.lit(0), i["height"] - 1), lambda r: F.substring(i["data"], r * w * c + 1, w * c))
+    cut = images.where(i["height"] > 0).select(i["origin"].alias("path"), w.alias("width"), c.alias("channels"), rows.alias("rows"))
+    cut = cut.select("path", "width", "channels", F.posexplode("rows").alias("ping", "row"))
+
+    def grey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            lines = []
+            for row, n in zip(b.column(4), b.column(2).to_pylist()):
+                m = np.frombuffer(row.as_buffer(), np.uint8).reshape(-1, n).astype(float)
+                # blue, green, red order; the usual luma weights, rounded as an 8-bit converter does
+                lines.append(m[:, 0] if n == 1 else np.floor((m[:, 2] * 19595 + m[:, 1] * 38470 + m[:, 0] * 7471 + 32768) / 65536))
+            at = np.cumsum([0, *map(len, lines)])
+            flat = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(np.concatenate(lines) if lines else np.zeros(0)))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(3), b.column(1), flat], ["path", "ping", "width", "pixels"])
+
+    return cut.mapInArrow(grey, "path string, ping int, width int, pixels array<double>")
+
+
+def ingest_images(spark: SparkSession, path: str, geometry: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(traces, nav, errors) of the waterfall pictures under `path`, by the declared geometry (columns of GEOMETRY) of a survey, the file's name.
+
+    A combined picture holds port mirrored in its left half; another one is
+    starboard only, with empty port traces.  Undeclared: combined, heading 90,
+    2 m/s, 0.1 s a ping, everything else unknown (null).  Pictures that cannot
+    be read are errors.
+    """
+    either = ",".join("".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in s) for s in IMAGES)
+    images = spark.read.format("image").option("recursiveFileLookup", "true").option("pathGlobFilter", "*{" + either + "}").load(path)
+    errors = images.where(F.coalesce(F.col("image.height"), F.lit(-1)) <= 0).select(F.col("image.origin").alias("path"), F.lit("unreadable image").alias("error"))
+    rows = written(image_rows(images)).withColumn("survey", _survey("path"))
+    known = spark.createDataFrame([], GEOMETRY) if geometry is None else geometry
+    g = rows.select("survey").distinct().join(known, "survey", "left")
+    g = g.withColumns({c: F.coalesce(c, F.lit(v)) for c, v in (("combined", True), ("heading", 90.0), ("speed", 2.0), ("dt", 0.1))})
+    traces = image_traces(salted_join(rows, g.select("survey", "combined"), ["survey"], "ping"), F.col("combined"))
+    return traces, declared_nav(rows.select("survey", "ping"), g), errors
 
 
 def image_traces(rows: DataFrame, combined: Column | bool = True) -> DataFrame:
@@ -255,7 +291,7 @@ def declared_nav(pings: DataFrame, geometry: DataFrame) -> DataFrame:
     track = G.declared_track("ping", "lat0", "lon0", "heading", "speed", "dt")
     known = F.col("lat0").isNotNull() & F.col("lon0").isNotNull()
     return j.select("survey", "ping", (F.col("start_time") + F.col("ping") * F.col("dt")).alias("time"), F.when(known, track["lat"]).alias("lat"),
-                    F.when(known, track["lon"]).alias("lon"), "heading", "altitude", F.lit(0.0).alias("sensor_depth"), F.lit(1500.0).alias("sound_velocity"),
+                    F.when(known, track["lon"]).alias("lon"), "heading", "altitude", "sensor_depth", F.lit(1500.0).alias("sound_velocity"),
                     "slant_range", "speed", F.lit(0.0).alias("layback"),
                     F.when(known, "declared-line").otherwise("none").alias("nav_source"))
 

@@ -141,7 +141,9 @@ class RangeReader(DataSourceReader):
                 out += [Range(prefix + f.path, f.size, s, min(s + self.length, max(f.size, 1)), first if s == 0 else None) for s in range(0, max(f.size, 1), self.length)]
         return out
 
-    def read(self, partition: Range) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: Range | None) -> Iterator[pa.RecordBatch]:
+        if partition is None:                            # no file, no partition
+            return iter(())
         return range_rows(FORMATS[self.form], partition.file, partition.size, partition.start, partition.stop, partition.entry)
 
 
