@@ -235,7 +235,20 @@ def p3(s):
     return long_rows(C.despeckle(image(s), shape(s), "lee", block=16), digits=4)
 
 
-@query("w15_impulse_median")
+def _median_of(table, value, h, names):
+    """Median over (2h + 1) x (2h + 1) places, mirrored at the edges, of a table of pixels."""
+    turned = lambda p, n: f"CASE WHEN {p} < 0 THEN -1 - ({p}) WHEN {p} >= {n} THEN 2 * {n} - 1 - ({p}) ELSE {p} END"
+    return f"""(SELECT a.survey, a.side, a.ping, a.col, quantile_cont(b.{value}, 0.5) AS {names} FROM (SELECT survey, side, ping, col, n, {turned('ping + dp', 'n')} AS bp, {turned('col + dc', 64)} AS bc
+  FROM {table} JOIN sz USING (survey, side), (SELECT unnest(range({-h}, {h + 1})) AS dp) x, (SELECT unnest(range({-h}, {h + 1})) AS dc) y) a
+  JOIN {table} b ON b.survey = a.survey AND b.side = a.side AND b.ping = a.bp AND b.col = a.bc GROUP BY a.survey, a.side, a.ping, a.col)"""
+
+
+@query("w15_impulse_median", "v_samples", f"""
+WITH {IMAGE}, sz AS (SELECT survey, side, max(ping) + 1 AS n FROM im GROUP BY ALL), fl AS (SELECT survey, side, quantile_cont(v, 0.5) AS fill FROM im GROUP BY ALL),
+f AS MATERIALIZED (SELECT survey, side, ping, col, coalesce(v, fill) AS v, v IS NOT NULL AS ok FROM im JOIN fl USING (survey, side)),
+m AS MATERIALIZED (SELECT f.*, med, abs(v - med) AS dev FROM f JOIN {_median_of('f', 'v', 1, 'med')} q USING (survey, side, ping, col)),
+r AS (SELECT m.*, mad FROM m JOIN {_median_of('m', 'dev', 3, 'mad')} q USING (survey, side, ping, col))
+SELECT survey, side, ping, CAST(col AS INT) AS col, CASE WHEN ok THEN round(CASE WHEN dev > 3.0::DOUBLE * 1.4826::DOUBLE * mad THEN med ELSE v END, 6) END AS v FROM r""")
 def w15(s):
     return long_rows(C.despeckle(image(s), shape(s), "median", block=16))
 

@@ -207,7 +207,14 @@ def a8(s):
     return PH.column_background(ground(s)).select("survey", "side", "col", F.round("med", 6).alias("med"), F.round("sigma", 6).alias("sigma"))
 
 
-@query("g3_blobs")
+@query("g3_blobs", "v_samples", f"""
+WITH RECURSIVE {GROUND}, m AS (SELECT survey, side, col, quantile_cont(v, 0.5) AS med FROM gr GROUP BY ALL), d AS (SELECT survey, side, col, quantile_cont(abs(v - med), 0.5) * 1.4826 AS sg FROM gr JOIN m USING (survey, side, col) GROUP BY ALL),
+px AS MATERIALIZED (SELECT survey, side, ping, col FROM gr JOIN m USING (survey, side, col) JOIN d USING (survey, side, col) WHERE v > med + 2 * sg),
+r AS (SELECT survey, side, ping AS p0, col AS c0, ping, col FROM px UNION
+  SELECT r.survey, r.side, p0, c0, px.ping, px.col FROM r JOIN px ON px.survey = r.survey AND px.side = r.side AND abs(px.ping - r.ping) + abs(px.col - r.col) = 1),
+l AS (SELECT survey, side, ping, col, min(CAST(p0 AS BIGINT) * 1000000 + c0) AS root FROM r GROUP BY ALL)
+SELECT survey, side, concat_ws('|', survey, side, lpad(CAST(root // 1000000 AS VARCHAR), 12, '0'), lpad(CAST(root % 1000000 AS VARCHAR), 9, '0')) AS blob,
+  CAST(min(ping) AS INT) AS ping0, CAST(max(ping) AS INT) AS ping1, CAST(min(col) AS INT) AS col0, CAST(max(col) AS INT) AS col1, count(*) AS area FROM l GROUP BY survey, side, root""")
 def g3(s):
     runs, _ = PH.classical_blobs(ground(s), grid(s), 2.0, 0)
     return PH.blob_table(runs).select("survey", "side", "blob", "ping0", "ping1", "col0", "col1", "area")
