@@ -277,7 +277,25 @@ def a6(s):
     return C.stretch_u8(image(s)).select(*KEYS, F.posexplode("cols").alias("col", "v"))
 
 
-@query("a7_equalised")
+@query("a7_equalised", "v_samples", f"""
+WITH {IMAGE}, lim AS (SELECT survey, side, quantile_cont(v, 0.01) AS lo, quantile_cont(v, 0.997) AS hi, max(ping) + 1 AS n FROM im GROUP BY ALL),
+cd AS MATERIALIZED (SELECT survey, side, ping, col, v, n, least(8, n) AS gy, CAST(ceil(n / least(8, n)) AS BIGINT) AS th,
+  CAST(round_even(greatest(least((coalesce(v, lo) - lo) / (hi - lo), 1), 0) * 65535.0::DOUBLE, 0) AS BIGINT) AS code FROM im JOIN lim USING (survey, side)),
+rr AS (SELECT *, ping AS r FROM cd UNION ALL SELECT *, 2 * (n - 1) - ping FROM cd WHERE 2 * (n - 1) - ping >= n AND 2 * (n - 1) - ping < th * gy),
+hc AS (SELECT survey, side, CAST(r // th AS BIGINT) AS cy, CAST(col // 8 AS BIGINT) AS cx, th, code AS k, count(*) AS m FROM rr GROUP BY ALL),
+h AS MATERIALIZED (SELECT survey, side, cy, cx, th * 8 AS area, k, least(m, greatest(floor(2.5 * th * 8 / 65536), 1)) AS c FROM hc),
+cell AS (SELECT survey, side, cy, cx, area, CAST(max(area) - sum(c) AS BIGINT) AS excess FROM h GROUP BY ALL),
+cum AS (SELECT survey, side, cy, cx, k, sum(c) OVER (PARTITION BY survey, side, cy, cx ORDER BY k) AS base FROM h),
+pl AS (SELECT *, ping / th::DOUBLE - 0.5 AS ty, col / 8::DOUBLE - 0.5 AS tx FROM cd),
+co AS (SELECT survey, side, ping, col, code, dy, dx, CAST(CASE dy WHEN 0 THEN greatest(floor(ty), 0) ELSE least(floor(ty) + 1, gy - 1) END AS BIGINT) AS cy, CAST(CASE dx WHEN 0 THEN greatest(floor(tx), 0) ELSE least(floor(tx) + 1, 7) END AS BIGINT) AS cx,
+  CASE dy WHEN 0 THEN 1 - (ty - floor(ty)) ELSE ty - floor(ty) END * CASE dx WHEN 0 THEN 1 - (tx - floor(tx)) ELSE tx - floor(tx) END AS w
+  FROM pl, (SELECT unnest([0, 1]) AS dy) a, (SELECT unnest([0, 1]) AS dx) b),
+lu AS (SELECT co.*, area, excess, coalesce(base, 0) + excess // 65536 * (co.code + 1)
+    + CASE WHEN excess % 65536 > 0 THEN least(co.code // greatest(65536 // (excess % 65536), 1) + 1, excess % 65536) ELSE 0 END AS total
+  FROM co JOIN cell USING (survey, side, cy, cx) ASOF LEFT JOIN cum ON cum.survey = co.survey AND cum.side = co.side AND cum.cy = co.cy AND cum.cx = co.cx AND co.code >= cum.k),
+pt AS (SELECT survey, side, ping, col, dy, dx, w * greatest(least(round_even(total * (65535.0::DOUBLE / area), 0), 65535), 0) AS p FROM lu),
+su AS (SELECT survey, side, ping, col, max(p) FILTER (dy = 0 AND dx = 0) + max(p) FILTER (dy = 0 AND dx = 1) + max(p) FILTER (dy = 1 AND dx = 0) + max(p) FILTER (dy = 1 AND dx = 1) AS res FROM pt GROUP BY ALL)
+SELECT survey, side, ping, CAST(col AS INT) AS col, CASE WHEN v IS NOT NULL THEN round(round_even(res, 0) / 65535, 6) END AS v FROM cd JOIN su USING (survey, side, ping, col)""")
 def a7(s):
     return long_rows(C.equalise(image(s), shape(s), block=16))
 
