@@ -120,3 +120,15 @@ ANNOTATION_CLASSES = {
 }
 SPLIT_WORDS = [("training", "train"), ("test_1", "val")]
 HOLDOUT_WORD = "test_2"
+
+# ---- sentences of the physics gate (fixed values) ----------------------------
+REASONS = {
+    "no_highlight": "no acoustic highlight above local seabed",
+    "no_height": "no measurable shadow: height unverified",
+    "outside": "height %.2f m outside %s %s",
+    "band": "band [{}, {}] m",
+    "thin": "thin return (%d < %d pings): likely impulsive noise",
+}
+
+# ---- scales of the severity terms, and their values where nothing was measured (fixed values) --
+SEVERITY_SCALES = {"area_m2": 40.0, "height_m": 2.0, "shallow_m": 20.0, "deep_m": 100.0, "deep": 0.2, "no_height": 0.3, "no_depth": 0.5}

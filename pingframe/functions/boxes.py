@@ -80,19 +80,6 @@ def chip_window(ping0: ColumnLike, ping1: ColumnLike, col0: ColumnLike, col1: Co
     return F.struct(r0.alias("row0"), c0.alias("col0"), h.alias("h"), w.alias("w"))
 
 
-def jittered_origin(lo: ColumnLike, hi: ColumnLike, extent: ColumnLike, size: ColumnLike,
-                    jitter: ColumnLike, u: ColumnLike) -> Column:
-    """Window origin along one axis that keeps [lo, hi] inside, picked by u in [0, 1)."""
-    lo, hi, n, w, j = dbl(lo), dbl(hi), col(extent), col(size), F.rint(dbl(jitter))
-    first = F.greatest(F.lit(0.0), F.ceil(hi) - w)
-    last = F.least(dbl(n - w), dbl(F.floor(lo)))
-    centre = F.rint((lo + hi) / 2.0 - w / 2.0)
-    a, b = F.greatest(first, centre - j), F.least(last, centre + j)
-    a2, b2 = F.when(b < a, first).otherwise(a), F.when(b < a, last).otherwise(b)
-    pick = F.floor(a2 + dbl(u) * (b2 - a2 + 1.0))
-    return F.when(last < first, clamp(centre, 0.0, dbl(n - w))).otherwise(pick).cast("int")
-
-
 def label_line(class_id: ColumnLike, cx: Column, cy: Column, w: Column, h: Column) -> Column:
     return F.format_string("%d %.6f %.6f %.6f %.6f", col(class_id).cast("int"), cx, cy, w, h)
 

@@ -40,7 +40,7 @@ def physics_gate(cls: ColumnLike, has_highlight: ColumnLike, has_shadow: ColumnL
     """struct(multiplier, violation, reason) from the acoustic cues."""
     cls, h = col(cls), dbl(height_m)
     lo, hi = lookup({k: v[0] for k, v in bands.items()}, cls), lookup({k: v[1] for k, v in bands.items()}, cls)
-    band_text = lookup({k: f"band [{float(v[0])}, {float(v[1])}] m" for k, v in bands.items()}, cls)
+    band_text = lookup({k: K.REASONS["band"].format(float(v[0]), float(v[1])) for k, v in bands.items()}, cls)
     no_light = ~col(has_highlight)
     no_height = ~col(has_shadow) | h.isNull()
     outside = F.coalesce((h < lo) | (h > hi), F.lit(False))
@@ -48,9 +48,9 @@ def physics_gate(cls: ColumnLike, has_highlight: ColumnLike, has_shadow: ColumnL
         F.when(no_light, F.lit(scoring["no_highlight"])).when(no_height, F.lit(scoring["no_shadow"]))
         .when(outside, F.lit(scoring["violation"])).otherwise(F.lit(scoring["both_cues"])).alias("multiplier"),
         (~no_light & ~no_height & outside).alias("violation"),
-        F.when(no_light, F.lit("no acoustic highlight above local seabed"))
-        .when(no_height, F.lit("no measurable shadow: height unverified"))
-        .when(outside, F.format_string("height %.2f m outside %s %s", h, cls, band_text)).alias("reason"),
+        F.when(no_light, F.lit(K.REASONS["no_highlight"]))
+        .when(no_height, F.lit(K.REASONS["no_height"]))
+        .when(outside, F.format_string(K.REASONS["outside"], h, cls, band_text)).alias("reason"),
     )
 
 
@@ -58,7 +58,7 @@ def demote_thin(gate: ColumnLike, ping0: ColumnLike, ping1: ColumnLike, scoring:
     """A box of too few pings is demoted with the reason appended, never dropped."""
     g, n, need = col(gate), col(ping1) - col(ping0) + 1, scoring["min_pings"]
     thin = n < need
-    note = F.format_string(f"thin return (%d < {need} pings): likely impulsive noise", n)
+    note = F.format_string(K.REASONS["thin"], n, F.lit(need))
     return F.struct(
         F.when(thin, g["multiplier"] * scoring["thin"]).otherwise(g["multiplier"]).alias("multiplier"),
         g["violation"].alias("violation"),
@@ -86,8 +86,8 @@ def anomaly_score(peak: ColumnLike, threshold: ColumnLike, scale: float = 2.0) -
 # ---- severity ----------------------------------------------------------------
 
 def severity_terms(cls: ColumnLike, area_m2: ColumnLike, height_m: ColumnLike, depth_m: ColumnLike,
-                   proximity: ColumnLike, hazard: ColumnLike | None = None, area_scale=40.0, height_scale=2.0,
-                   shallow=20.0, deep=100.0) -> Column:
+                   proximity: ColumnLike, hazard: ColumnLike | None = None, area_scale=K.SEVERITY_SCALES["area_m2"], height_scale=K.SEVERITY_SCALES["height_m"],
+                   shallow=K.SEVERITY_SCALES["shallow_m"], deep=K.SEVERITY_SCALES["deep_m"]) -> Column:
     """Unrounded struct(hazard, size, height, depth, proximity), each in 0..1."""
     h, d = dbl(height_m), dbl(depth_m)
     fallback = K.HAZARD.get(K.ANOMALY_CLASS, 0.5)
@@ -95,9 +95,9 @@ def severity_terms(cls: ColumnLike, area_m2: ColumnLike, height_m: ColumnLike, d
     return F.struct(
         haz.alias("hazard"),
         (1.0 - F.exp(-F.greatest(dbl(area_m2), F.lit(0.0)) / area_scale)).alias("size"),
-        F.when(h.isNull(), F.lit(0.3)).otherwise(1.0 - F.exp(-F.greatest(h, F.lit(0.0)) / height_scale)).alias("height"),
-        F.when(d.isNull(), F.lit(0.5)).when(d <= shallow, F.lit(1.0)).when(d >= deep, F.lit(0.2))
-        .otherwise(1.0 - 0.8 * (d - shallow) / (deep - shallow)).alias("depth"),
+        F.when(h.isNull(), F.lit(K.SEVERITY_SCALES["no_height"])).otherwise(1.0 - F.exp(-F.greatest(h, F.lit(0.0)) / height_scale)).alias("height"),
+        F.when(d.isNull(), F.lit(K.SEVERITY_SCALES["no_depth"])).when(d <= shallow, F.lit(1.0)).when(d >= deep, F.lit(K.SEVERITY_SCALES["deep"]))
+        .otherwise(1.0 - (1.0 - K.SEVERITY_SCALES["deep"]) * (d - shallow) / (deep - shallow)).alias("depth"),
         F.coalesce(dbl(proximity), F.lit(0.0)).alias("proximity"))
 
 

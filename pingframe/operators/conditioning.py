@@ -520,7 +520,3 @@ def tile_rows(ground: DataFrame, tiles: DataFrame, bucket: int = 256) -> DataFra
     t = tiles.withColumn("_r1", F.col("row0") + F.col("h") - 1)
     j = range_join(ground, t, SIDE, "ping", "row0", "_r1", bucket)
     return j.select(*SIDE, "tile_index", (F.col("ping") - F.col("row0")).alias("r"), F.slice("cols", F.col("col0") + 1, F.col("w")).alias("cols"))
-
-
-def pixel_table(ground: DataFrame, keys: Sequence[str] = (*SIDE, "ping")) -> DataFrame:
-    return ground.select(*keys, F.posexplode("cols").alias("col", "v"))

@@ -212,6 +212,3 @@ def pyramid_nearest(left: DataFrame, right: DataFrame, metres: float, left_id: s
     by_pos = lpos.join(best, "_lid").select(*pos, "m")
     return (left.join(by_pos, pos)
             .select(left_id, F.col("m._rid").alias(f"near_{right_id}"), F.col("m.distance_m").alias("distance_m")))
-
-
-BOX_COLUMNS = BOX

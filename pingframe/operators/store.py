@@ -47,10 +47,6 @@ def reviewed_with_source(contacts: DataFrame, surveys: DataFrame, log: DataFrame
     return judged.join(surveys.select("survey", "source_path"), "survey", "left")
 
 
-def append_log(path: str, rows: DataFrame) -> None:
-    rows.write.mode("append").parquet(path)
-
-
 def replace_surveys(path: str, contacts: DataFrame) -> None:
     """Idempotent reprocessing: only the partitions of the surveys in `contacts` are rewritten."""
     (contacts.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("survey").parquet(path))
