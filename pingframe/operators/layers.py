@@ -19,6 +19,7 @@ from ..functions.scoring import proximity_contribution
 
 SEGMENT_LIMIT = 4096        # segments carried along with every contact; beyond it the bucketed search runs
 FEATURE = ["layer", "feature", "name", "kind", "weight", "ord"]
+PACKED = [*FEATURE, "is_area", "outer", "x0", "y0", "x1", "y1"]
 
 
 def crosses_ray(lon: Column, lat: Column, x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
@@ -43,6 +44,11 @@ class PackedLayers:
 
     def distances(self, lat: np.ndarray, lon: np.ndarray) -> np.ndarray:
         """(points, features) metres; 0 inside an area."""
+        dist, crossed = self.measured(lat, lon)
+        return np.where(crossed % 2 == 1, 0.0, dist)
+
+    def measured(self, lat: np.ndarray, lon: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(points, features) metres to the nearest segment, and segments of areas that an eastward ray crosses."""
         la, lo = np.radians(lat)[:, None], np.radians(lon)[:, None]
         here = _ecef_np(lat, lon)
         frame_e = (-np.sin(lo), np.cos(lo))
@@ -67,8 +73,7 @@ class PackedLayers:
         rise = self.y0 - self.y1
         at = (self.x0 - self.x1) * (y - self.y1) / np.where(rise == 0, 1.0, rise) + self.x1
         cross = self.area & ((self.y0 > y) != (self.y1 > y)) & (x < at)
-        inside = np.add.reduceat(cross.astype(np.int64), self.first, axis=1) % 2 == 1
-        return np.where(inside, 0.0, dist)
+        return dist, np.add.reduceat(cross.astype(np.int64), self.first, axis=1)
 
 
 def _ecef_np(lat: np.ndarray, lon: np.ndarray) -> np.ndarray:
@@ -79,10 +84,12 @@ def _ecef_np(lat: np.ndarray, lon: np.ndarray) -> np.ndarray:
 
 def pack_layers(segments: DataFrame, limit: int = SEGMENT_LIMIT) -> PackedLayers | None:
     """Collect a layer set of at most `limit` segments; None when there are more."""
-    rows = segments.select(*FEATURE, "is_area", "outer", "x0", "y0", "x1", "y1").limit(limit + 1).collect()
-    if len(rows) > limit:
-        return None
-    rows.sort(key=lambda r: (r["ord"], r["layer"], r["feature"]))
+    rows = segments.select(*PACKED).limit(limit + 1).collect()
+    return None if len(rows) > limit else _packed(rows)
+
+
+def _packed(rows: list) -> PackedLayers:
+    rows = sorted(rows, key=lambda r: (r["ord"], r["layer"], r["feature"]))
     feats, first = [], []
     for i, r in enumerate(rows):
         key = tuple(r[c] for c in FEATURE)
@@ -100,19 +107,47 @@ def _pick(packed: PackedLayers, column: str, index: Column, kind: str) -> Column
     return F.get(F.array(*[F.lit(v).cast(kind) for v in values]), index)
 
 
-def with_layer_distances(contacts: DataFrame, segments: DataFrame) -> DataFrame:
-    """One row per contact and feature: `layer`, `feature`, `distance_m` (small layer sets)."""
-    packed = pack_layers(segments)
-    if packed is None or not packed.features:
-        raise ValueError(f"needs 1..{SEGMENT_LIMIT} segments; use segment_hits with a radius for larger layer sets")
+def with_layer_distances(contacts: DataFrame, segments: DataFrame, limit: int = SEGMENT_LIMIT) -> DataFrame:
+    """One row per contact and feature: `layer`, `feature`, `distance_m`, 0 inside an area.
 
-    @F.pandas_udf("array<double>")
-    def all_distances(lat: pd.Series, lon: pd.Series) -> pd.Series:
-        return pd.Series(list(packed.distances(lat.to_numpy(float), lon.to_numpy(float))))
-
-    rows = contacts.select("*", F.posexplode(all_distances("lat", "lon")).alias("_i", "distance_m"))
-    return rows.withColumns({"layer": _pick(packed, "layer", F.col("_i"), "string"),
-                             "feature": _pick(packed, "feature", F.col("_i"), "int")}).drop("_i")
+    A layer set of at most `limit` segments is measured inside the contact scan.
+    A larger one is read in blocks of so many segments, a pass over the contacts
+    for each, and the blocks of a feature meet: the least distance, and all its
+    ray crossings.  Contacts then need an `id`.
+    """
+    packed = pack_layers(segments, limit)
+    if packed is not None and not packed.features:
+        return contacts.select("*", F.lit(0.0).alias("distance_m"), F.lit("").alias("layer"), F.lit(0).alias("feature")).limit(0)
+    if packed is not None:
+        @F.pandas_udf("array<double>")
+        def all_distances(lat: pd.Series, lon: pd.Series) -> pd.Series:
+            return pd.Series(list(packed.distances(lat.to_numpy(float), lon.to_numpy(float))))
+
+        rows = contacts.select("*", F.posexplode(all_distances("lat", "lon")).alias("_i", "distance_m"))
+        return rows.withColumns({"layer": _pick(packed, "layer", F.col("_i"), "string"),
+                                 "feature": _pick(packed, "feature", F.col("_i"), "int")}).drop("_i")
+    points, block, out = contacts.select("id", "lat", "lon"), [], None
+    for row in segments.select(*PACKED).orderBy("ord", "layer", "feature").toLocalIterator():
+        block.append(row)
+        if len(block) == limit:
+            out, block = _and_block(out, points, _packed(block)), []
+    if block:
+        out = _and_block(out, points, _packed(block))
+    met = out.groupBy("id", "layer", "feature").agg(F.min("d").alias("d"), F.sum("c").alias("c"))
+    measured = met.select("id", F.when(F.col("c") % 2 == 1, 0.0).otherwise(F.col("d")).alias("distance_m"), "layer", "feature")
+    return contacts.join(measured, "id").select(*contacts.columns, "distance_m", "layer", "feature")
+
+
+def _and_block(out: DataFrame | None, points: DataFrame, packed: PackedLayers) -> DataFrame:
+    """The rows so far and those of one more block of segments: (id, layer, feature, least distance, crossings)."""
+    @F.pandas_udf("struct<d array<double>, c array<bigint>>")
+    def measured(lat: pd.Series, lon: pd.Series) -> pd.DataFrame:
+        d, c = packed.measured(lat.to_numpy(float), lon.to_numpy(float))
+        return pd.DataFrame({"d": list(d), "c": list(c)})
+
+    rows = points.select("id", measured("lat", "lon").alias("m")).select("id", F.posexplode(F.arrays_zip("m.d", "m.c")).alias("_i", "m"))
+    rows = rows.select("id", _pick(packed, "layer", F.col("_i"), "string").alias("layer"), _pick(packed, "feature", F.col("_i"), "int").alias("feature"), "m.d", "m.c")
+    return rows if out is None else out.unionByName(rows)
 
 
 def nearest_layer(contacts: DataFrame, segments: DataFrame, decay_m: float = 2000.0,
