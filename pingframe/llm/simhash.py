@@ -259,7 +259,7 @@ def common_shingles(docs: DataFrame, text: str = "text", sample: int = SAMPLE, m
 def _confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """Those of the pairs (src, dst) of texts (id, text) whose sets of shingles have a Jaccard similarity of 0.8 at least."""
     needed = pairs.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
-    sets = stored(_sets(texts.join(needed, "id", "left_semi")), "similar-sets")
+    sets = stored(_sets(texts.join(needed, "id", "left_semi")).dropDuplicates(["id"]), "similar-sets")
     both = (pairs.join(sets.select(F.col("id").alias("src"), F.col("s").alias("s1")), "src").join(sets.select(F.col("id").alias("dst"), F.col("s").alias("s2")), "dst")
             .select("src", "dst", (F.size("s1") + F.size("s2")).alias("n"), F.size(F.array_intersect("s1", "s2")).alias("shared")))
     return stored(both.where("9L * shared >= 4L * n").select("src", "dst"), "similar-links")
@@ -271,28 +271,36 @@ def _labelled(marked: DataFrame, edges: DataFrame) -> DataFrame:
     return stored(components(linked, edges).select(F.col("node").alias("id"), "label"), "similar-labels")
 
 
-def similar(marked: DataFrame, radius: int = WIDE) -> DataFrame:
-    """(src, dst) that connect all rows (id, text, n, fp, head) whose sets of shingles have a Jaccard similarity of 0.8 at least.
+def _forest_of(marked: DataFrame, fp: str, radius: int) -> DataFrame:
+    """(src, dst) of texts whose fingerprints lie within the radius, as a spanning forest."""
+    first = stored(marked.groupBy(F.col(fp).alias("fp")).agg(F.min("id").alias("rep")), "similar-fingerprints")
+    ends = [first.select(F.col("fp").alias(e), F.col("rep").alias(f"{e}_id")) for e in ("src", "dst")]
+    near = links(first.select("fp"), radius).join(ends[0], "src").join(ends[1], "dst").select(F.col("src_id").alias("src"), F.col("dst_id").alias("dst"))
+    alike = marked.select("id", F.col(fp).alias("fp")).join(first, "fp").where("id <> rep").select(F.col("rep").alias("src"), F.col("id").alias("dst"))
+    return near.unionByName(alike).distinct()
+
+
+def similar(marked: DataFrame, texts: DataFrame, radius: int = WIDE) -> DataFrame:
+    """(src, dst) that connect all rows (id, n, fp, fp2, head) whose texts (id, text) have a Jaccard similarity of shingles of 0.8 at least.
 
     First the fingerprints are linked by tiles, within `radius` bits, and the
     links, a spanning forest, confirmed by the sets themselves: that joins most
-    near copies, in groups of any size, by a row for each text.  What it misses
-    lies between two groups: sets so alike share one of their heads, and, with
-    shared as in 9 * shared >= 4 * (n1 + n2), at least as many heads as the
+    near copies, in groups of any size, by a row for each text.  A second
+    fingerprint does so for texts that the first one leaves apart.  What both
+    miss lies between two groups: sets so alike share one of their heads, and,
+    with shared as in 9 * shared >= 4 * (n1 + n2), at least as many heads as the
     larger one's head would lose otherwise.  Texts of different groups that do
     are confirmed as well, so no link is missed.
     """
-    texts = marked.select("id", "text")
-    first = stored(marked.groupBy("fp").agg(F.min("id").alias("rep")), "similar-fingerprints")
-    near = links(first.select("fp"), radius)
-    reps = near.join(first.select(F.col("fp").alias("src"), F.col("rep").alias("a")), "src").join(first.select(F.col("fp").alias("dst"), F.col("rep").alias("b")), "dst").select(F.col("a").alias("src"), F.col("b").alias("dst"))
-    alike = marked.select("id", "fp").join(first, "fp").where("id <> rep").select(F.col("rep").alias("src"), F.col("id").alias("dst"))
-    sure = _confirmed(stored(reps.unionByName(alike).distinct(), "similar-candidates"), texts)
+    sure = _confirmed(stored(_forest_of(marked, "fp", radius), "similar-candidates"), texts)
+    label = _labelled(marked, sure)
+    ends = [label.select(F.col("id").alias(e), F.col("label").alias(f"{e}_in")) for e in ("src", "dst")]
+    apart = _forest_of(marked, "fp2", radius).join(ends[0], "src", "left").join(ends[1], "dst", "left").where("coalesce(src_in, src) <> coalesce(dst_in, dst)")
+    sure = sure.unionByName(_confirmed(stored(apart.select("src", "dst"), "similar-candidates"), texts))
     label = _labelled(marked, sure)
-    heads = marked.select("id", "n", F.explode("head").alias("x")).join(label, "id", "left").select("id", "n", "x", F.coalesce("label", "id").alias("g"))
-    heads = stored(heads, "similar-heads")
-    between = heads.groupBy("x").agg(F.min("g").alias("low"), F.max("g").alias("high")).where("low < high").select("x")
-    heads = stored(heads.join(between, "x", "left_semi"), "similar-between")
+    named = marked.select("id", "n", "head").join(label, "id", "left").select("id", "n", F.coalesce("label", "id").alias("g"), F.explode("head").alias("x"))
+    between = named.groupBy("x").agg(F.min("g").alias("low"), F.max("g").alias("high")).where("low < high").select("x")
+    heads = stored(named.join(between, "x", "left_semi"), "similar-between")
     a, b = heads.selectExpr("x", "id AS src", "n AS n1", "g AS g1"), heads.selectExpr("x", "id AS dst", "n AS n2", "g AS g2")
     met = a.join(b, "x").where("g1 < g2 AND 5L * n1 >= 4L * n2 AND 5L * n2 >= 4L * n1")
     enough = "c >= ceil(4 * (n1 + n2) / 9) + 1 - ceil(4 * greatest(n1, n2) / 5)"
@@ -301,25 +309,31 @@ def similar(marked: DataFrame, radius: int = WIDE) -> DataFrame:
 
 
 def keep_one_similar(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """keep_one() with documents linked by a Jaccard similarity of their five-word shingles of 0.8 at least; texts without words are alike."""
-    name, n, fp, head, rank = spare(docs, "_set", "_n", "_fp", "_head", "_rank")
+    """keep_one() with documents linked by a Jaccard similarity of their five-word shingles of 0.8 at least; texts without words are alike.
+
+    Of a group the row with the smallest key stays (a null key counts as the
+    largest), ties by a hash of the text.  Texts are written once, and move
+    when the rows that stay are picked.
+    """
+    row, name, n, fp, fp2, head = spare(docs, "_row", "_set", "_n", "_fp", "_fp2", "_head")
     small_batches(docs.sparkSession, 512)
     at, common = docs.columns.index(text), common_shingles(docs, text)
 
     def add(batch: pa.RecordBatch) -> pa.RecordBatch:
         held = [shingles(t.as_py()) for t in batch.column(at).cast(pa.binary())]
         ids = np.fromiter((xxhash.xxh64_intdigest(x.tobytes()) for x in held), np.uint64, batch.num_rows)
-        more = [pa.array(ids.view(np.int64)), pa.array([len(x) for x in held], pa.int32()), pa.array([_bits(x) for x in held], pa.int64()),
+        other = [(x ^ (x >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) for x in held]
+        more = [pa.array(ids.view(np.int64)), pa.array([len(x) for x in held], pa.int32()), pa.array([_bits(x) for x in held], pa.int64()), pa.array([_bits(x ^ (x >> np.uint64(32))) for x in other], pa.int64()),
                 pa.array([_head(x, common).view(np.int64) for x in held], pa.list_(pa.int64()))]
-        return pa.RecordBatch.from_arrays([*batch.columns, *more], [*batch.schema.names, name, n, fp, head])
+        return pa.RecordBatch.from_arrays([*batch.columns, *more], [*batch.schema.names, name, n, fp, fp2, head])
 
-    best = Window.partitionBy(name).orderBy(F.col(key).asc_nulls_last(), F.col(text))
     long = F.lit(0).cast("long")
-    marked = map_arrow(docs, add, docs.select("*", long.alias(name), F.lit(0).alias(n), long.alias(fp), F.array(long).alias(head)).schema)
-    marked = stored(marked.withColumn(rank, F.row_number().over(best)).where(F.col(rank) == 1).drop(rank), "similar-documents")     # equal sets first
-    edges = similar(marked.select(F.col(name).alias("id"), F.col(text).alias("text"), F.col(n).alias("n"), F.col(fp).alias("fp"), F.col(head).alias("head")))
-    label = _labelled(marked, edges).select(F.col("id").alias(name), "label")
-    place = F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("id"), F.col(name).alias("f"))
-    grouped = stored(marked.select(key, name).join(label, name).select("label", name, place.alias("m")), "similar-groups")
-    dropped = grouped.join(grouped.groupBy("label").agg(F.min("m").alias("least")), "label").where("m <> least").select(name)
-    return marked.join(dropped, name, "left_anti").select(*docs.columns)
+    marked = map_arrow(docs, add, docs.select("*", long.alias(name), F.lit(0).alias(n), long.alias(fp), long.alias(fp2), F.array(long).alias(head)).schema)
+    marked = stored(marked.withColumn(row, F.monotonically_increasing_id()), "similar-documents")
+    narrow = marked.select(F.col(name).alias("id"), F.col(n).alias("n"), F.col(fp).alias("fp"), F.col(fp2).alias("fp2"), F.col(head).alias("head"))
+    narrow = stored(narrow.dropDuplicates(["id"]), "similar-heads")                        # equal sets once
+    edges = similar(narrow, marked.select(F.col(name).alias("id"), F.col(text).alias("text")))
+    place = F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("id"), F.xxhash64(text).alias("h"), F.col(row).alias("row"))
+    best = marked.groupBy(F.col(name).alias("id")).agg(F.min(place).alias("m")).join(_labelled(narrow, edges), "id", "left")
+    kept = stored(best.groupBy(F.coalesce("label", "id").alias("label")).agg(F.min("m").alias("m")).select(F.col("m.row").alias(row)), "similar-kept")
+    return marked.join(kept, row, "left_semi").select(*docs.columns)

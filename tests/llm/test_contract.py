@@ -79,7 +79,7 @@ def test_common_passages_and_groups_change_no_link(spark, monkeypatch):
                 if 9 * len(sets[i] & sets[j]) >= 4 * (len(sets[i]) + len(sets[j])):
                     label[i] = label[j] = min(label[i], label[j])
     docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string").repartition(4)
-    for common, radius in ((1 << 16, 7), (0, 3), (10, 0)):
+    for common, radius in ((1 << 16, 7), (0, 3), (10, 1)):
         monkeypatch.setattr(simhash.common_shingles, "__defaults__", ("text", 4096, common))
         monkeypatch.setattr(simhash.similar, "__defaults__", (radius,))
         assert sorted(x.doc_id for x in simhash.keep_one_similar(docs).collect()) == sorted(set(label))
