@@ -20,8 +20,12 @@ from .scale import exact_percentiles, salted_join
 
 
 def clip_boxes(dets: DataFrame, grid: DataFrame) -> DataFrame:
-    """Boxes clipped to the image, with n_pings, n_cols and ground_res attached."""
-    d = salted_join(dets, grid.select(*SIDE, "n_pings", "n_cols", "ground_res"), SIDE, "det_id")
+    """Boxes clipped to the image, with n_pings, n_cols and ground_res attached.
+
+    Both sides of a survey show the same pings; a record that one side has lost does not shorten its image.
+    """
+    pings = grid.groupBy("survey").agg(F.max("n_pings").alias("n_pings"))
+    d = salted_join(dets, grid.select(*SIDE, "n_cols", "ground_res").join(pings, "survey"), SIDE, "det_id")
     n, m = F.col("n_pings").cast("int"), F.col("n_cols").cast("int")
     d = d.withColumns({"ping0": clamp(F.col("ping0"), F.lit(0), n - 1), "col0": clamp(F.col("col0"), F.lit(0), m - 1)})
     return d.withColumns({"ping1": F.least(F.greatest(F.col("ping1"), F.col("ping0")), n - 1),
