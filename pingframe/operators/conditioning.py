@@ -185,10 +185,10 @@ def normalise_gain(samples: Column | str, gain: Column | str, first_return: Colu
 # ---- slant to ground ---------------------------------------------------------
 
 def ground_grid(geom: DataFrame, bottom: DataFrame, ground_res: float | None = None) -> DataFrame:
-    """Adds ground_res (finest side unless given) and n_cols (widest swath of the survey) per survey-side."""
+    """Adds ground_res (finest side unless given) and n_cols (widest swath of the survey) per survey-side; n_pings are the survey's."""
     finest = geom.groupBy("survey").agg(F.min(F.when(F.col("slant_res") > 0, F.col("slant_res"))).alias("_res"))
-    low = bottom.groupBy("survey").agg(F.min("altitude_m").alias("_alt"))
-    g = geom.join(finest, "survey").join(low, "survey")
+    low = bottom.groupBy("survey").agg(F.min("altitude_m").alias("_alt"), (F.max("ping") + 1).cast("long").alias("n_pings"))
+    g = geom.drop("n_pings").join(finest, "survey").join(low, "survey")
     res = F.col("_res") if ground_res is None else F.lit(float(ground_res))
     reach = F.col("n_samples") * F.col("slant_res")
     wide = F.sqrt(F.greatest(reach * reach - F.col("_alt") * F.col("_alt"), F.lit(0.0)))
@@ -210,8 +210,10 @@ def ground_row(samples: pd.Series, first_return: pd.Series, altitude: pd.Series,
 
 
 def slant_to_ground(traces: DataFrame, first: DataFrame, bottom: DataFrame, grid: DataFrame) -> DataFrame:
-    rows = traces.join(first, [*SIDE, "ping"]).join(bottom.select("survey", "ping", "altitude_m"), ["survey", "ping"])
-    rows = salted_join(rows, grid.select(*SIDE, "slant_res", "ground_res", "n_cols"), SIDE, "ping")
+    """Every ping of a survey on each of its sides; one whose record is lost on a side is a line without data there."""
+    lines = salted_join(bottom.select("survey", "ping", "altitude_m"), grid.select(*SIDE, "slant_res", "ground_res", "n_cols"), ["survey"], "ping")
+    rows = lines.join(traces.select(*SIDE, "ping", "samples").join(first, [*SIDE, "ping"]), [*SIDE, "ping"], "left")
+    rows = rows.withColumns({"samples": F.coalesce("samples", F.array().cast("array<double>")), "first_return": F.coalesce("first_return", F.lit(0))})
     return rows.select(*SIDE, "ping", ground_row("samples", "first_return", "altitude_m", "slant_res", "ground_res", "n_cols").alias("cols"))
 
 
