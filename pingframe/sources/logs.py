@@ -324,8 +324,12 @@ def mosaic_rows_to_nav(rows: DataFrame) -> DataFrame:
 
 
 def pair_sides(traces: DataFrame) -> DataFrame:
-    """Port and starboard of each ping side by side; a missing side is zeros of the other side's length."""
+    """Port and starboard of each ping side by side; a missing side is zeros of the other side's length.
+
+    A record whose samples are lost (NULL) is a missing side; a ping that lost both stays, without samples.
+    """
     side = lambda n: traces.where(F.col("side") == n).select("survey", "ping", F.col("samples").alias(n))
     j = side("port").join(side("starboard"), ["survey", "ping"], "full_outer")
     zero = lambda other: F.transform(other, lambda _: F.lit(0.0))
-    return j.select("survey", "ping", F.coalesce("port", zero("starboard")).alias("port"), F.coalesce("starboard", zero("port")).alias("starboard"))
+    return j.select("survey", "ping", *[
+        F.coalesce(own, zero(other), F.array().cast("array<double>")).alias(own) for own, other in (("port", "starboard"), ("starboard", "port"))])

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from pingframe.operators import conditioning as C
 from pingframe.operators import physics as PH
+from pingframe.sources import logs
 
 
 def test_a_lost_record_does_not_shorten_the_image_of_its_side(spark):
@@ -24,3 +25,9 @@ def test_a_lost_record_is_a_ground_line_without_data(spark):
     got = {(r.side, r.ping): r.cols for r in C.slant_to_ground(traces, first, bottom, grid).collect()}
     assert sorted(got) == [("port", 0), ("port", 1), ("starboard", 0), ("starboard", 1)]
     assert set(got["starboard", 1]) == {None} and len(got["starboard", 1]) == len(got["port", 1]) and 1.0 in got["port", 1]
+
+
+def test_a_ping_that_lost_both_sides_stays(spark):
+    rows = [("s", 0, "port", [3.0, 4.0]), ("s", 1, "port", None), ("s", 1, "starboard", [1.0, 2.0]), ("s", 2, "port", None)]
+    got = {r.ping: (r.port, r.starboard) for r in logs.pair_sides(spark.createDataFrame(rows, "survey string, ping int, side string, samples array<double>")).collect()}
+    assert got == {0: ([3.0, 4.0], [0.0, 0.0]), 1: ([0.0, 0.0], [1.0, 2.0]), 2: ([], [])}
