@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .. import constants as K
 from ..functions.boxes import BOX
 from ..functions.scoring import calibration_bin, default_grid, logit, nll_term
-from ..session import cut_lineage
+from ..session import cut_lineage, written
 from .joins import box_pairs
 from .scale import running_sums
 
@@ -43,10 +43,11 @@ def match_greedy(scored: DataFrame, candidates: DataFrame, keys: Sequence[str] =
     keys = list(keys)
     prio = F.struct((-F.col(confidence)).alias("c"), F.col("det_id").alias("i"))
     pref = F.struct((-F.col("iou")).alias("v"), F.col("truth_id").alias("t"))
-    edges = cut_lineage(scored.select(*keys, "det_id", prio.alias("p")).join(candidates, "det_id")
-                        .select(*keys, "det_id", "truth_id", "p", pref.alias("q")))
+    # rounds are written as plain columns: an id lies once in a row, and files are columnar and compressed
+    open_ = written(scored.select(*keys, "det_id", confidence).join(candidates.select("det_id", "truth_id", "iou"), "det_id"))
     taken = None
-    while not edges.isEmpty():
+    while not open_.isEmpty():
+        edges = open_.select(*keys, "det_id", "truth_id", prio.alias("p"), pref.alias("q"))
         # a detection first in line at every truth it may want takes its best one
         first = edges.groupBy(*keys, "truth_id").agg(F.min("p").alias("first"))
         lined = edges.join(first, [*keys, "truth_id"])
@@ -56,8 +57,8 @@ def match_greedy(scored: DataFrame, candidates: DataFrame, keys: Sequence[str] =
             .select(*keys, "det_id", F.col("b.truth_id").alias("truth_id")))
         ready = cut_lineage(ready)
         taken = ready if taken is None else taken.unionByName(ready)
-        edges = cut_lineage(edges.join(ready.select(*keys, "det_id"), [*keys, "det_id"], "left_anti")
-                            .join(ready.select(*keys, "truth_id"), [*keys, "truth_id"], "left_anti"))
+        open_ = written(open_.join(ready.select(*keys, "det_id"), [*keys, "det_id"], "left_anti")
+                        .join(ready.select(*keys, "truth_id"), [*keys, "truth_id"], "left_anti"))
     if taken is None:
         return scored.withColumns({"truth_id": F.lit(None).cast("string"), "is_tp": F.lit(False)})
     return (scored.join(taken, [*keys, "det_id"], "left")
