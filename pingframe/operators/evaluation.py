@@ -27,8 +27,12 @@ def match_candidates(scored: DataFrame, truth: DataFrame, min_iou: float = 0.3,
 
 
 def any_match(scored: DataFrame, truth: DataFrame, min_iou: float = 0.3) -> DataFrame:
-    """`correct`: some truth of the same class and side overlaps enough (not exclusive)."""
-    hit = match_candidates(scored, truth, min_iou).select("det_id").distinct().withColumn("_hit", F.lit(True))
+    """`correct`: some truth of the same class and side overlaps enough (not exclusive); equal boxes are met once."""
+    keys = ["survey", "side", "cls"]
+    place = [*keys, *BOX]
+    pairs = box_pairs(scored.select(*place).distinct(), truth.select(*place).distinct(), keys, min_iou)
+    met = pairs.select(*[F.col(f"l_{c}").alias(c) for c in place]).distinct()
+    hit = scored.select("det_id", *place).join(met, place, "left_semi").select("det_id").distinct().withColumn("_hit", F.lit(True))
     return scored.join(hit, "det_id", "left").withColumn("correct", F.coalesce("_hit", F.lit(False))).drop("_hit")
 
 

@@ -1,7 +1,27 @@
 """Matching of many copies: equal boxes meet once, and rounds keep slim files."""
 
+from pyspark.sql import functions as F
+
 from pingframe.operators import evaluation as E
 
+DETS = "survey string, side string, cls string, ping0 int, ping1 int, col0 int, col1 int"
+
+
+def copies(spark, name, n):
+    here = spark.createDataFrame([("s", "port", "x", 0, 9, 0, 9)], DETS)
+    return here.crossJoin(spark.range(n).select(F.concat(F.lit(name), F.col("id").cast("string")).alias(f"{name}_id")))
+
+
+def test_copies_are_met_once(spark, monkeypatch):
+    d, t = copies(spark, "det", 5000), copies(spark, "truth", 5000)
+    far = spark.createDataFrame([("s", "port", "x", 50, 59, 0, 9, "lonely"), ("s", "port", "x", 0, 9, 0, 9, None)], DETS + ", det_id string")
+    seen, pairs = [], E.box_pairs
+    monkeypatch.setattr(E, "box_pairs", lambda *a, **k: seen.append(pairs(*a, **k)) or seen[-1])
+    got = E.any_match(d.unionByName(far), t)
+    assert got.columns[0] == "det_id"
+    assert {(r.det_id, r.correct) for r in got.where("NOT correct").collect()} == {("lonely", False), (None, False)}
+    assert got.where("correct").count() == 5000 and [p.count() for p in seen] == [1]
+
 
 def test_rounds_write_each_id_once(spark, monkeypatch):
     cut, files = [], []
