@@ -169,35 +169,60 @@ def _arc(chord):
     return 2 * MEAN_R * np.arcsin(np.minimum(chord / (2 * MEAN_R), 1.0))
 
 
-def tour(lat: np.ndarray, lon: np.ndarray, rounds: int = 8) -> np.ndarray:
-    """Nearest-neighbour order from index 0 followed by 2-opt; O(n) memory."""
-    p = _ecef_np(lat, lon)
-    n = len(p)
+def _nearest_first(x: np.ndarray, y: np.ndarray, z: np.ndarray) -> np.ndarray:
+    """Nearest-neighbour order from index 0 (ties: smallest index); visited stops are taken out each time half are gone."""
+    n = len(x)
     order, rest = np.zeros(n, dtype=np.int64), np.arange(1, n)
+    at, done = 0, np.zeros(n - 1)
+    rx, ry, rz = x[1:], y[1:], z[1:]
+    open_ = n - 1
     for k in range(1, n):
-        near = int(np.argmin(((p[rest] - p[order[k - 1]]) ** 2).sum(axis=1)))
-        order[k] = rest[near]
-        rest = np.delete(rest, near)
-    span = lambda u, v: _arc(np.sqrt(((u - v) ** 2).sum(axis=-1)))
-    q = p[order]                                   # points in tour order, so every scan is a slice
-    edge = span(q[:-1], q[1:])
+        if 2 * open_ < len(rest):
+            stay = done == 0
+            rest, rx, ry, rz, done = rest[stay], rx[stay], ry[stay], rz[stay], done[stay]
+        near = int(((rx - x[at]) ** 2 + (ry - y[at]) ** 2 + (rz - z[at]) ** 2 + done).argmin())
+        done[near] = np.inf
+        open_ -= 1
+        order[k] = at = rest[near]
+    return order
+
+
+def tour(lat: np.ndarray, lon: np.ndarray, rounds: int = 8) -> np.ndarray:
+    """Nearest-neighbour order from index 0 followed by 2-opt; O(n) memory.
+
+    Chords are never longer than arcs, so arcs are worked out only where the
+    chords shorten the tour; the chords from a stop serve it and the next one.
+    """
+    n = len(lat)
+    if not n:
+        return np.zeros(0, dtype=np.int64)
+    x, y, z = (np.ascontiguousarray(c) for c in _ecef_np(lat, lon).T)
+    order = _nearest_first(x, y, z)
+    x, y, z = x[order], y[order], z[order]           # points in tour order, so every scan is a slice
+    chords = lambda u, v: np.sqrt((x[u] - x[v]) ** 2 + (y[u] - y[v]) ** 2 + (z[u] - z[v]) ** 2)
+    edge = _arc(chords(slice(None, -1), slice(1, None)))
     for _ in range(rounds):
         better = False
+        before = chords(0, slice(0, None))           # from stop i - 1 to the stops from there on
         for i in range(1, n - 2):
+            here = chords(i, slice(i, None))
             j = i + 1
             while j < n - 1:
                 # next j that shortens the tour when stops i..j are turned round
-                then = span(q[i - 1], q[j:n - 1]) + span(q[i], q[j + 1:n])
-                gain = then < edge[i - 1] + edge[j:n - 1] - 1e-9
-                k = int(gain.argmax())
-                if not gain[k]:
+                to_j, to_next, now = before[j - i + 1:n - i], here[j + 1 - i:], edge[i - 1] + edge[j:n - 1] - 1e-9
+                maybe = np.flatnonzero((to_j + to_next) * (1 - 1e-12) < now)
+                if len(maybe):
+                    maybe = maybe[_arc(to_j[maybe]) + _arc(to_next[maybe]) < now[maybe]]
+                if not len(maybe):
                     break
-                j += k
-                order[i:j + 1] = order[i:j + 1][::-1].copy()
-                q[i:j + 1] = q[i:j + 1][::-1].copy()
-                edge[i - 1:j + 1] = span(q[i - 1:j + 1], q[i:j + 2])
+                j += int(maybe[0])
+                for v in (order, x, y, z):
+                    v[i:j + 1] = v[i:j + 1][::-1].copy()
+                edge[i - 1:j + 1] = _arc(chords(slice(i - 1, j + 1), slice(i, j + 2)))
                 better = True
                 j += 1
+                here = chords(i, slice(i, None))
+            before = here
         if not better:
             break
     return order
