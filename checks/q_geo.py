@@ -51,7 +51,8 @@ g AS (SELECT id, i, a, sqrt(greatest(s * s - a * a, 0)) * i / 24 AS ground FROM
 SELECT id, CAST(i AS INT) AS step, round_even(ground, 2) AS ground_range_m, round_even(sqrt(ground * ground + a * a), 2) AS slant_range_m,
   round_even(radians(0.5) * sqrt(ground * ground + a * a), 4) AS along_track_m FROM g""")
 def x5(s):
-    rows = s.v_contacts.select("id", F.inline(X.resolution_curve(F.col("height_m") + 0.3717, F.col("depth_m") + 10.0173)))
+    c = s.wide("v_contacts").select("id", "height_m", "depth_m")
+    rows = X.resolution_rows(c, F.col("height_m") + 0.3717, F.col("depth_m") + 10.0173)
     return rows.select("id", "step", "ground_range_m", "slant_range_m", "along_track_m")
 
 

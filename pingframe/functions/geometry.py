@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..constants import SONAR
@@ -59,18 +59,28 @@ def resolution_curve(altitude_m: ColumnLike, range_m: ColumnLike, steps: int = 2
     s = F.greatest(dbl(range_m), F.lit(0.0))
     max_ground = F.sqrt(F.greatest(s * s - a * a, F.lit(0.0)))
 
-    def point(i):
-        ground = max_ground * i / steps
-        slant = F.sqrt(ground * ground + a * a)
-        return F.struct(
-            i.cast("int").alias("step"),
-            half_even(ground, 2).alias("ground_range_m"),
-            half_even(slant, 2).alias("slant_range_m"),
-            half_even(along_track_res(slant, beam_deg), 4).alias("along_track_m"),
-            half_even(across_track_res(sv_mps, pulse_s), 4).alias("across_track_m"),
-        )
-
-    return F.transform(F.sequence(F.lit(0), F.lit(steps)), point)
+    return F.transform(F.sequence(F.lit(0), F.lit(steps)), lambda i: _curve_point(i, max_ground, a, steps, beam_deg, sv_mps, pulse_s))
+
+
+def _curve_point(i: Column, max_ground: Column, a: Column, steps: int, beam_deg, sv_mps, pulse_s) -> Column:
+    ground = max_ground * i / steps
+    slant = F.sqrt(ground * ground + a * a)
+    return F.struct(
+        i.cast("int").alias("step"),
+        half_even(ground, 2).alias("ground_range_m"),
+        half_even(slant, 2).alias("slant_range_m"),
+        half_even(along_track_res(slant, beam_deg), 4).alias("along_track_m"),
+        half_even(across_track_res(sv_mps, pulse_s), 4).alias("across_track_m"),
+    )
+
+
+def resolution_rows(df: DataFrame, altitude_m: ColumnLike, range_m: ColumnLike, steps: int = 24, beam_deg=SONAR["beam_deg"],
+                    sv_mps=SONAR["sv_mps"], pulse_s=SONAR["pulse_s"]) -> DataFrame:
+    """`resolution_curve` as rows: the columns of `df` and those of a sample.  Steps are exploded first, so compiled code works out each sample."""
+    a, s = F.greatest(dbl(altitude_m), F.lit(0.0)), F.greatest(dbl(range_m), F.lit(0.0))
+    rows = df.select(*df.columns, a.alias("_a"), F.sqrt(F.greatest(s * s - a * a, F.lit(0.0))).alias("_max")).withColumn("_i", F.explode(F.sequence(F.lit(0), F.lit(steps))))
+    point = _curve_point(F.col("_i"), F.col("_max"), F.col("_a"), steps, beam_deg, sv_mps, pulse_s).alias("_p")
+    return rows.select(*df.columns, point).select(*df.columns, "_p.*")
 
 
 def shadow_round_trip(altitude_m: ColumnLike, height_m: ColumnLike, ground_m: ColumnLike) -> Column:
