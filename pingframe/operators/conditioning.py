@@ -21,6 +21,7 @@ from .scale import exact_percentiles, framed, interpolate_gaps, mirrored_blocks,
 
 SIDE = ["survey", "side"]
 BLOCK = 256          # pings per 2-D block
+PIXELS = 1 << 20     # pixels of a block that shares look-up tables
 MAD_TO_SIGMA = 1.4826
 RAYLEIGH_CU = float(np.sqrt(4.0 / np.pi - 1.0))
 
@@ -398,8 +399,9 @@ def equalise(ground: DataFrame, n_pings: DataFrame, clip_limit: float = 2.5, til
     """Contrast-limited equalisation to 0..1: 16-bit codes, a clipped histogram per grid cell, bilinear blend.
 
     `tile_grid` is (cells across range, cells along track).  Flat images become
-    0.5, no-data stays NULL.  Histograms are counted per (cell, code) map-side;
-    each block of pings then only receives the curves of the cells around it.
+    0.5, no-data stays NULL.  Histograms are counted per (cell, code) map-side.
+    Pings between the same two rows of cells go together, `PIXELS` pixels (and
+    `block` pings) at a time, so a curve is sent no more often than it is worth.
     """
     lim = stretch_limits(ground, p_low, p_high, _pixel_bound(ground))
     shape = n_pings.select(*SIDE, F.col("n_pings").alias("_n"))
@@ -408,6 +410,9 @@ def equalise(ground: DataFrame, n_pings: DataFrame, clip_limit: float = 2.5, til
     code = F.transform("cols", lambda v: F.rint(clamp((F.coalesce(v, F.col("lo")) - F.col("lo")) / (F.col("hi") - F.col("lo")), 0.0, 1.0) * top).cast("int"))
     flat = ~(F.col("hi") > F.col("lo")) | F.col("hi").isNull()
     coded = rows.select(*SIDE, "ping", "cols", "_n", F.size("cols").alias("_m"), flat.alias("_flat"), F.when(~flat, code).alias("code"))
+    seen = lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))
+    shown = F.when(F.col("_flat"), F.transform("cols", lambda v: F.when(seen(v), F.lit(0)))).otherwise(
+        F.zip_with("code", "cols", lambda k, v: F.when(seen(v), k)))
     gx = F.greatest(F.least(F.lit(tile_grid[0]), F.col("_m")), F.lit(1))
     gy = F.greatest(F.least(F.lit(tile_grid[1]), F.col("_n").cast("int")), F.lit(1))
     coded = coded.withColumns({"_gx": gx, "_gy": gy})
@@ -427,60 +432,56 @@ def equalise(ground: DataFrame, n_pings: DataFrame, clip_limit: float = 2.5, til
     cell = hist.groupBy(*SIDE, "_cy", "_cx", "_th", "_tw").agg(F.array_sort(F.collect_list(F.struct("k", "n"))).alias("h"))
     area = (F.col("_th") * F.col("_tw")).cast("double")
     limit = F.greatest(F.floor(F.lit(float(clip_limit)) * area / 65536.0), F.lit(1)).cast("long")
-    curve = cell.select(*SIDE, "_cy", "_cx", F.transform("h", lambda e: e["k"]).alias("k"),
+    curve = cell.select(*SIDE, "_cy", "_cx", "_tw", F.transform("h", lambda e: e["k"]).alias("k"),
                         F.transform("h", lambda e: F.least(e["n"], limit)).alias("n"),
                         (area - F.aggregate("h", F.lit(0).cast("long"), lambda a, e: a + F.least(e["n"], limit)).cast("double")).cast("long").alias("excess"),
                         area.alias("area"))
-    cell_row = lambda q: F.floor(q / F.col("_th") - 0.5).cast("int")
-    blocked = coded.withColumn("_blk", F.floor(F.col("ping") / block))
-    need = (live.select(*SIDE, F.floor(F.col("ping") / block).alias("_blk"), cell_row(F.col("ping").cast("double")).alias("_y"), "_gy").distinct()
-            .select(*SIDE, "_blk", F.explode(F.array(clamp(F.col("_y"), F.lit(0), F.col("_gy") - 1), clamp(F.col("_y") + 1, F.lit(0), F.col("_gy") - 1))).alias("_cy")).distinct())
+    part = F.floor(F.col("ping") / F.greatest(F.lit(block), F.floor(PIXELS / F.greatest("_m", F.lit(1))))).alias("_blk")
+    above = F.floor(F.col("ping").cast("double") / F.col("_th") - 0.5).cast("int").alias("_y")
+    blocked = coded.select(*SIDE, "ping", "_flat", "_gy", "_gx", "_th", "_tw", above, part, shown.alias("code"))
+    need = (live.select(*SIDE, above, part, "_gy").distinct()
+            .select(*SIDE, "_blk", "_y", F.explode(F.array(clamp(F.col("_y"), F.lit(0), F.col("_gy") - 1), clamp(F.col("_y") + 1, F.lit(0), F.col("_gy") - 1))).alias("_cy")).distinct())
     curves = need.join(curve, [*SIDE, "_cy"])
     curves = curves.select(*[F.col(c).alias(c) for c in curves.columns])     # own column ids: both sides share a source
 
-    def apply(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        cum = {}
-        for cy, cx, k, n, excess, a in zip(right["_cy"], right["_cx"], right["k"], right["n"], right["excess"], right["area"]):
-            cum[(int(cy), int(cx))] = (np.asarray(k), np.cumsum(n), int(excess), float(a))
-
-        def lut(cy, cx, codes):
-            k, c, excess, a = cum[(cy, cx)]
-            at = np.searchsorted(k, codes, side="right")
-            base = np.where(at > 0, c[np.maximum(at, 1) - 1], 0)
-            each, left_over = divmod(excess, 65536)
-            total = base + each * (codes + 1)
-            if left_over:
-                step = max(65536 // left_over, 1)
-                total = total + np.minimum(codes // step + 1, left_over)
-            return np.clip(np.rint(total * (top / a)), 0, top)
+    def table(k, n, excess: int, a: float) -> np.ndarray:
+        """The level of each of the 65,536 codes in a cell."""
+        total = np.zeros(65536, dtype=np.int64)
+        total[np.asarray(k)] = n
+        codes, (each, left_over) = np.arange(65536), divmod(excess, 65536)
+        total = np.cumsum(total) + each * (codes + 1)
+        if left_over:
+            total = total + np.minimum(codes // max(65536 // left_over, 1) + 1, left_over)
+        return np.clip(np.rint(total * (top / a)), 0, top)
+
+    def blend(rows: pd.DataFrame, codes: np.ndarray, levels: dict) -> np.ndarray:
+        gy_, gx_, th, tw = (int(rows[c].iloc[0]) for c in ("_gy", "_gx", "_th", "_tw"))
+        ty = rows["ping"].to_numpy() / th - 0.5
+        y1 = int(rows["_y"].iloc[0])                                          # the same for all of a group
+        fy = (ty - y1)[:, None]
+        tx = np.arange(codes.shape[1]) / tw - 0.5
+        x1 = np.floor(tx).astype(int)
+        fx = tx - x1
+        res = np.zeros(codes.shape)
+        for y, wy in ((max(y1, 0), 1.0 - fy), (min(y1 + 1, gy_ - 1), fy)):
+            for xs, wx in ((np.maximum(x1, 0), 1.0 - fx), (np.minimum(x1 + 1, gx_ - 1), fx)):
+                for x in np.unique(xs):
+                    sel = xs == x
+                    res[:, sel] += wy * wx[sel] * levels[(y, int(x), tw)][codes[:, sel]]
+        return np.rint(res) / top
 
-        out = []
-        for ping, cols, codes, flat_, n, gy_, gx_, th, tw in zip(left["ping"], left["cols"], left["code"], left["_flat"], left["_n"], left["_gy"],
-                                                                  left["_gx"], left["_th"], left["_tw"]):
-            raw = np.asarray(cols, dtype=float)
-            if flat_:
-                out.append(_nulls(np.where(np.isfinite(raw), 0.5, np.nan)[None])[0])
-                continue
-            codes = np.asarray(codes, dtype=np.int64)
-            ty = ping / th - 0.5
-            y1 = int(np.floor(ty))
-            fy = ty - y1
-            ya, yb = max(y1, 0), min(y1 + 1, gy_ - 1)
-            tx = np.arange(len(codes)) / tw - 0.5
-            x1 = np.floor(tx).astype(int)
-            fx = tx - x1
-            xa, xb = np.maximum(x1, 0), np.minimum(x1 + 1, gx_ - 1)
-            res = np.zeros(len(codes))
-            for y, wy in ((ya, 1.0 - fy), (yb, fy)):
-                for xs, wx in ((xa, 1.0 - fx), (xb, fx)):
-                    for x in np.unique(xs):
-                        sel = xs == x
-                        res[sel] += wy * wx[sel] * lut(y, int(x), codes[sel])
-            res = np.rint(res) / top
-            out.append(_nulls(np.where(np.isfinite(raw), res, np.nan)[None])[0])
-        return pd.DataFrame({"survey": left["survey"], "side": left["side"], "ping": left["ping"].astype(np.int32), "cols": out})
-
-    return (blocked.groupBy(*SIDE, "_blk").cogroup(curves.groupBy(*SIDE, "_blk"))
+    def apply(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        levels = {(int(cy), int(cx), int(tw)): table(k, n, int(excess), float(a)) for cy, cx, tw, k, n, excess, a in
+                  zip(right["_cy"], right["_cx"], right["_tw"], right["k"], right["n"], right["excess"], right["area"])}
+        done = []
+        for (_, flat_), rows in left.groupby([left["code"].str.len(), "_flat"], sort=False):
+            m = _matrix(rows["code"])
+            ok = np.isfinite(m)
+            res = np.full(m.shape, 0.5) if flat_ else blend(rows, np.where(ok, m, 0).astype(np.int64), levels)
+            done.append(pd.DataFrame({"survey": rows["survey"], "side": rows["side"], "ping": rows["ping"].astype(np.int32), "cols": _nulls(np.where(ok, res, np.nan))}))
+        return pd.concat(done) if done else pd.DataFrame({"survey": [], "side": [], "ping": np.zeros(0, np.int32), "cols": []})
+
+    return (blocked.groupBy(*SIDE, "_y", "_blk").cogroup(curves.groupBy(*SIDE, "_y", "_blk"))
             .applyInPandas(apply, "survey string, side string, ping int, cols array<double>"))
 
 
