@@ -104,12 +104,12 @@ def zones(contacts: DataFrame, labels: DataFrame, min_size: int = 1) -> DataFram
 
 # ---- survey diff and cross-view ----------------------------------------------
 
-def diff_surveys(a: DataFrame, b: DataFrame, radius_m: float = 25.0) -> DataFrame:
-    """Every contact of b with its nearest contact of a within the radius, else marked new."""
+def diff_surveys(a: DataFrame, b: DataFrame, radius_m: float = 25.0, digits: int | None = 1) -> DataFrame:
+    """Every contact of b with its nearest contact of a within the radius, else marked new; distances to `digits` decimals, or as they are."""
     near = nearest_within(b, a, radius_m, "id", "id")
     return (b.join(near, "id", "left")
             .withColumns({"status": F.when(F.col("near_id").isNull(), F.lit("new")).otherwise(F.lit("matched")),
-                          "distance_m": half_even("distance_m", 1)})
+                          "distance_m": F.col("distance_m") if digits is None else half_even("distance_m", digits)})
             .withColumnRenamed("near_id", "a_id"))
 
 
