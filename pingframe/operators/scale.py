@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 from ..session import cut_lineage, written
 
 GROUP_ROWS = 1_000_000
+SMALL_ROWS = 50_000          # rows of a table that may be broadcast
 
 
 def largest_group(df: DataFrame, keys: Sequence[str]) -> int:
@@ -139,9 +140,11 @@ def order_statistics(df: DataFrame, keys: Sequence[str], value: str, ranks: Data
     keys = list(keys)
     data = written(df.where(F.col(value).isNotNull()).select(*keys, ordered_bits(F.col(value).cast("double")).alias("_bits")))
     state = cut_lineage(ranks.select(*keys, "rank", F.lit(0).cast("long").alias("_head"), F.lit(0).cast("long").alias("_below")))
+    few = state.count() <= SMALL_ROWS                     # a checkpoint's size is not known to Spark, which would shuffle every number
     for shift in range(64 - RADIX, -1, -RADIX):
         rows = data.withColumn("_head", F.shiftright("_bits", shift + RADIX) if shift + RADIX < 64 else F.lit(0).cast("long"))
-        rows = salted_join(rows, state.select(*keys, "_head").distinct(), [*keys, "_head"], "_bits")
+        heads = state.select(*keys, "_head").distinct()
+        rows = rows.join(F.broadcast(heads), [*keys, "_head"]) if few else salted_join(rows, heads, [*keys, "_head"], "_bits")
         counts = rows.groupBy(*keys, "_head", F.shiftright("_bits", shift).alias("_cell")).agg(F.count(F.lit(1)).alias("_c"))
         before = F.sum("_c").over(Window.partitionBy(*keys, "_head").orderBy("_cell")) - F.col("_c")
         place = F.col("rank") - F.col("_below") - F.col("_before")
