@@ -16,10 +16,13 @@ from .common import components, map_arrow, small_batches, spare, stored
 SHINGLE = 3
 SEED = 42
 RADIUS = 3
-#: Of the stage that links texts by Jaccard similarity: bits in which fingerprints may differ to be tried first; texts sampled for common shingles, and those at most.
+#: Of the stage that links texts by Jaccard similarity: bits in which fingerprints may differ to be tried first; texts sampled for common shingles,
+#: at least and as a share, and those shingles at most; words of 64 bits that sum up a set.
 WIDE = 7
 SAMPLE = 4096
+SHARE = 8
 COMMON = 1 << 16
+PARITY = 8
 #: Fingerprints in a tile of the comparison; shingles whose bits are counted at once.
 TILE = 4096
 CHUNK = 1 << 16
@@ -236,6 +239,15 @@ def _head(hashes: np.ndarray, common: np.ndarray) -> np.ndarray:
     return np.concatenate([hashes[~last], hashes[last]])[:len(hashes) - (4 * len(hashes) + 4) // 5 + 1]
 
 
+def _parity(hashes: np.ndarray) -> np.ndarray:
+    """For each of 64 * PARITY slots whether an odd number of a set's shingles fall into it, as signed longs.
+
+    The bits in which two of these differ are at most the shingles that only one of the sets has.
+    """
+    odd = np.bincount((hashes & np.uint64(64 * PARITY - 1)).astype(np.int64), minlength=64 * PARITY) & 1
+    return np.packbits(odd.astype(bool), bitorder="little").view(np.int64)
+
+
 def _sets(texts: DataFrame) -> DataFrame:
     """(id, s) from (id, text): the shingles of a text."""
     def spread(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -246,25 +258,45 @@ def _sets(texts: DataFrame) -> DataFrame:
 
 
 def common_shingles(docs: DataFrame, text: str = "text", sample: int = SAMPLE, most: int = COMMON) -> np.ndarray:
-    """Hashes of the shingles that four of some `sample` texts have, `most` at most.
+    """Hashes of the shingles that four texts of a sample have, `most` at most; the sample is one text of SHARE, `sample` texts if that is more.
 
     They only order shingles, so that passages which very many texts share lead
     to no candidates; whatever the sample holds, the result is the same.
     """
-    some = docs.select(F.lit(0).cast("long"), F.col(text)).where(F.pmod(F.xxhash64(text), F.lit(max(1, docs.count()))) < sample).distinct()
+    n = max(1, docs.count())
+    some = docs.select(F.lit(0).cast("long"), F.col(text)).where(F.pmod(F.xxhash64(text), F.lit(n)) < max(sample, n // SHARE)).distinct()
     found = _sets(some).select(F.explode("s").alias("x")).groupBy("x").agg(F.count(F.lit(1)).alias("n")).where("n >= 4")
     return np.sort(np.array([r.x for r in found.orderBy(F.desc("n"), "x").limit(most).collect()], np.int64).view(np.uint64))
 
 
-def _confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+def _plausible(pairs: DataFrame, marked: DataFrame) -> DataFrame:
+    """The pairs (src, dst) without those whose parities (id, n, parity) already differ in more bits than similar sets may have shingles of their own."""
+    ends = [marked.select(F.col("id").alias(e), F.col("n").alias(f"n_{e}"), F.col("parity").alias(f"p_{e}")) for e in ("src", "dst")]
+    apart = sum(F.bit_count(F.get("p_src", F.lit(i)).bitwiseXOR(F.get("p_dst", F.lit(i)))) for i in range(PARITY))
+    return pairs.join(ends[0], "src").join(ends[1], "dst").where(9 * apart <= F.col("n_src") + F.col("n_dst")).select("src", "dst")
+
+
+def _confirmed(pairs: DataFrame, marked: DataFrame, texts: DataFrame) -> DataFrame:
     """Those of the pairs (src, dst) of texts (id, text) whose sets of shingles have a Jaccard similarity of 0.8 at least."""
+    pairs = stored(_plausible(pairs, marked), "similar-candidates")
     needed = pairs.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
-    sets = stored(_sets(texts.join(needed, "id", "left_semi")).dropDuplicates(["id"]), "similar-sets")
+    sets = stored(_sets(texts.join(needed, "id", "left_semi").dropDuplicates(["id"])), "similar-sets")
     both = (pairs.join(sets.select(F.col("id").alias("src"), F.col("s").alias("s1")), "src").join(sets.select(F.col("id").alias("dst"), F.col("s").alias("s2")), "dst")
             .select("src", "dst", (F.size("s1") + F.size("s2")).alias("n"), F.size(F.array_intersect("s1", "s2")).alias("shared")))
     return stored(both.where("9L * shared >= 4L * n").select("src", "dst"), "similar-links")
 
 
+def _met(heads: DataFrame) -> DataFrame:
+    """(src, dst) of the texts of different groups, from rows (x, p, id, n, g), whose sets may have a similarity of 0.8: the shingle x in place p may be the first they share.
+
+    Sets so alike share 4/9 of their joint size.  Before the first shingle that
+    they share they have nothing in common, so both must have as many shingles
+    from there on; that shingle is in both heads.
+    """
+    a, b = heads.selectExpr("x", "id AS src", "n - p AS r1", "n AS n1", "g AS g1"), heads.selectExpr("x", "id AS dst", "n - p AS r2", "n AS n2", "g AS g2")
+    return a.join(b, "x").where("g1 < g2 AND 9L * r1 >= 4L * (n1 + n2) AND 9L * r2 >= 4L * (n1 + n2)").select("src", "dst").distinct()
+
+
 def _labelled(marked: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, label) of the texts that have a link."""
     linked = edges.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
@@ -281,31 +313,26 @@ def _forest_of(marked: DataFrame, fp: str, radius: int) -> DataFrame:
 
 
 def similar(marked: DataFrame, texts: DataFrame, radius: int = WIDE) -> DataFrame:
-    """(src, dst) that connect all rows (id, n, fp, fp2, head) whose texts (id, text) have a Jaccard similarity of shingles of 0.8 at least.
+    """(src, dst) that connect all rows (id, n, fp, fp2, parity, head) whose texts (id, text) have a Jaccard similarity of shingles of 0.8 at least.
 
     First the fingerprints are linked by tiles, within `radius` bits, and the
     links, a spanning forest, confirmed by the sets themselves: that joins most
     near copies, in groups of any size, by a row for each text.  A second
     fingerprint does so for texts that the first one leaves apart.  What both
-    miss lies between two groups: sets so alike share one of their heads, and,
-    with shared as in 9 * shared >= 4 * (n1 + n2), at least as many heads as the
-    larger one's head would lose otherwise.  Texts of different groups that do
-    are confirmed as well, so no link is missed.
+    miss lies between two groups: sets so alike share one of their heads, early
+    enough in both for what must follow.  Texts of different groups that do are
+    confirmed as well, so no link is missed.
     """
-    sure = _confirmed(stored(_forest_of(marked, "fp", radius), "similar-candidates"), texts)
+    sure = _confirmed(_forest_of(marked, "fp", radius), marked, texts)
     label = _labelled(marked, sure)
     ends = [label.select(F.col("id").alias(e), F.col("label").alias(f"{e}_in")) for e in ("src", "dst")]
     apart = _forest_of(marked, "fp2", radius).join(ends[0], "src", "left").join(ends[1], "dst", "left").where("coalesce(src_in, src) <> coalesce(dst_in, dst)")
-    sure = sure.unionByName(_confirmed(stored(apart.select("src", "dst"), "similar-candidates"), texts))
+    sure = sure.unionByName(_confirmed(apart.select("src", "dst"), marked, texts))
     label = _labelled(marked, sure)
-    named = marked.select("id", "n", "head").join(label, "id", "left").select("id", "n", F.coalesce("label", "id").alias("g"), F.explode("head").alias("x"))
+    named = marked.select("id", "n", "head").join(label, "id", "left").select("id", "n", F.coalesce("label", "id").alias("g"), F.posexplode("head").alias("p", "x"))
     between = named.groupBy("x").agg(F.min("g").alias("low"), F.max("g").alias("high")).where("low < high").select("x")
     heads = stored(named.join(between, "x", "left_semi"), "similar-between")
-    a, b = heads.selectExpr("x", "id AS src", "n AS n1", "g AS g1"), heads.selectExpr("x", "id AS dst", "n AS n2", "g AS g2")
-    met = a.join(b, "x").where("g1 < g2 AND 5L * n1 >= 4L * n2 AND 5L * n2 >= 4L * n1")
-    enough = "c >= ceil(4 * (n1 + n2) / 9) + 1 - ceil(4 * greatest(n1, n2) / 5)"
-    pairs = met.groupBy("src", "dst", "n1", "n2").agg(F.count(F.lit(1)).alias("c")).where(enough).select("src", "dst")
-    return sure.unionByName(_confirmed(stored(pairs, "similar-pairs"), texts))
+    return sure.unionByName(_confirmed(_met(heads), marked, texts))
 
 
 def keep_one_similar(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -315,7 +342,7 @@ def keep_one_similar(docs: DataFrame, key: str = "doc_id", text: str = "text") -
     largest), ties by a hash of the text.  Texts are written once, and move
     when the rows that stay are picked.
     """
-    row, name, n, fp, fp2, head = spare(docs, "_row", "_set", "_n", "_fp", "_fp2", "_head")
+    row, name, n, fp, fp2, parity, head = spare(docs, "_row", "_set", "_n", "_fp", "_fp2", "_parity", "_head")
     small_batches(docs.sparkSession, 512)
     at, common = docs.columns.index(text), common_shingles(docs, text)
 
@@ -324,13 +351,13 @@ def keep_one_similar(docs: DataFrame, key: str = "doc_id", text: str = "text") -
         ids = np.fromiter((xxhash.xxh64_intdigest(x.tobytes()) for x in held), np.uint64, batch.num_rows)
         other = [(x ^ (x >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) for x in held]
         more = [pa.array(ids.view(np.int64)), pa.array([len(x) for x in held], pa.int32()), pa.array([_bits(x) for x in held], pa.int64()), pa.array([_bits(x ^ (x >> np.uint64(32))) for x in other], pa.int64()),
-                pa.array([_head(x, common).view(np.int64) for x in held], pa.list_(pa.int64()))]
-        return pa.RecordBatch.from_arrays([*batch.columns, *more], [*batch.schema.names, name, n, fp, fp2, head])
+                pa.array([_parity(x) for x in held], pa.list_(pa.int64())), pa.array([_head(x, common).view(np.int64) for x in held], pa.list_(pa.int64()))]
+        return pa.RecordBatch.from_arrays([*batch.columns, *more], [*batch.schema.names, name, n, fp, fp2, parity, head])
 
     long = F.lit(0).cast("long")
-    marked = map_arrow(docs, add, docs.select("*", long.alias(name), F.lit(0).alias(n), long.alias(fp), long.alias(fp2), F.array(long).alias(head)).schema)
+    marked = map_arrow(docs, add, docs.select("*", long.alias(name), F.lit(0).alias(n), long.alias(fp), long.alias(fp2), F.array(long).alias(parity), F.array(long).alias(head)).schema)
     marked = stored(marked.withColumn(row, F.monotonically_increasing_id()), "similar-documents")
-    narrow = marked.select(F.col(name).alias("id"), F.col(n).alias("n"), F.col(fp).alias("fp"), F.col(fp2).alias("fp2"), F.col(head).alias("head"))
+    narrow = marked.select(F.col(name).alias("id"), F.col(n).alias("n"), F.col(fp).alias("fp"), F.col(fp2).alias("fp2"), F.col(parity).alias("parity"), F.col(head).alias("head"))
     narrow = stored(narrow.dropDuplicates(["id"]), "similar-heads")                        # equal sets once
     edges = similar(narrow, marked.select(F.col(name).alias("id"), F.col(text).alias("text")))
     place = F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("id"), F.xxhash64(text).alias("h"), F.col(row).alias("row"))

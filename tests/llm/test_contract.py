@@ -83,3 +83,35 @@ def test_common_passages_and_groups_change_no_link(spark, monkeypatch):
         monkeypatch.setattr(simhash.common_shingles, "__defaults__", ("text", 4096, common))
         monkeypatch.setattr(simhash.similar, "__defaults__", (radius,))
         assert sorted(x.doc_id for x in simhash.keep_one_similar(docs).collect()) == sorted(set(label))
+
+
+def test_texts_just_too_different_do_not_meet(spark):
+    """Sets with most of one base in common and rare shingles of their own are no candidates; whatever is similar is one."""
+    import numpy as np
+
+    from pingframe.llm import simhash
+
+    r = np.random.default_rng(3)
+    fresh = lambda n: r.integers(0, 2**63, n, dtype=np.uint64)
+    base = np.unique(fresh(150))
+    apart = [np.unique(np.r_[base[24:], fresh(24)]) for _ in range(60)]
+    alike = [np.unique(np.r_[base[k:], fresh(k)]) for k in r.integers(0, 14, 20)]
+    sets = apart + alike
+    rows = [(int(x), p, i, len(s), i) for i, s in enumerate(sets) for p, x in enumerate(simhash._head(s, base).tolist())]
+    heads = spark.createDataFrame(rows, "x long, p int, id long, n int, g long")
+    met = {(a.src, a.dst) for a in simhash._met(heads).collect()}
+    true = {(i, j) for j in range(len(sets)) for i in range(j) if 9 * len(np.intersect1d(sets[i], sets[j])) >= 4 * (len(sets[i]) + len(sets[j]))}
+    assert true and true <= met and not [x for x in met if max(x) < len(apart)]
+    marked = spark.createDataFrame([(i, len(s), simhash._parity(s).tolist()) for i, s in enumerate(sets)], "id long, n int, parity array<long>")
+    every = spark.createDataFrame([(i, j) for j in range(len(sets)) for i in range(j)], "src long, dst long")
+    left = {(a.src, a.dst) for a in simhash._plausible(every, marked).collect()}
+    assert true <= left and len(left) < every.count() / 2
+
+
+def test_stored_tables_leave_no_shuffle_files(spark):
+    from pingframe.llm import common
+
+    known = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().mapOutputTracker().shuffleStatuses()
+    before, setting = known.size(), spark.conf.get(common.SHUFFLE_CLEANUP, "false")
+    out = common.stored(spark.range(1000).repartition(7, "id"), "test")
+    assert known.size() <= before and out.count() == 1000 and spark.conf.get(common.SHUFFLE_CLEANUP, "false") == setting
