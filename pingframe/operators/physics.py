@@ -75,14 +75,22 @@ def _pixels(crop: DataFrame, *keep: str) -> DataFrame:
     return crop.select("det_id", "row", *keep, "lo_col", F.posexplode("cols").alias("_i", "v")).withColumn("col", F.col("lo_col") + F.col("_i"))
 
 
+def _median(values: Column) -> Column:
+    """Median of an array without nulls, as `percentile` gives it; NULL if it is empty."""
+    v, n = F.sort_array(values), F.size(values)
+    at = lambda i: F.get(v, F.floor(i / 2).cast("int"))
+    return 0.5 * at(n - 1) + 0.5 * at(n)
+
+
 def backgrounds(crop: DataFrame) -> DataFrame:
     """Box median and local seabed level (near side, else far side) per detection."""
-    px = _pixels(crop, "near_lo", "near_hi", "far_lo", "far_hi", "col0", "col1")
-    c = F.col("col")
-    med = lambda cond: F.percentile(F.when(cond, F.col("v")), F.lit(0.5))  # noqa: E731 - groups are one box and its strips
-    a = px.groupBy("det_id").agg(
-        med((c >= F.col("near_lo")) & (c < F.col("near_hi"))).alias("_near"), med((c >= F.col("far_lo")) & (c < F.col("far_hi"))).alias("_far"),
-        med((c >= F.col("col0")) & (c <= F.col("col1"))).alias("_box"))
+    def strip(lo, hi):                                   # columns lo to hi - 1 of a row, as far as it has them
+        first = F.greatest(lo - F.col("lo_col"), F.lit(0))
+        return F.array_compact(F.slice("cols", first + 1, F.greatest(hi - F.col("lo_col") - first, F.lit(0))))
+
+    strips = {"_near": strip(F.col("near_lo"), F.col("near_hi")), "_far": strip(F.col("far_lo"), F.col("far_hi")), "_box": strip(F.col("col0"), F.col("col1") + 1)}
+    rows = crop.where(F.size("cols") > 0).groupBy("det_id").agg(*[F.flatten(F.collect_list(v)).alias(k) for k, v in strips.items()])       # groups are one box and its strips
+    a = rows.select("det_id", *[_median(F.col(k)).alias(k) for k in strips])
     level = F.when(F.col("_near") > 0, F.col("_near")).when(F.col("_far") > 0, F.col("_far"))
     return a.select("det_id", level.alias("background"), F.col("_box").alias("box_median"))
 
@@ -108,9 +116,17 @@ def shadow_runs(dark: DataFrame, cfg: dict = K.SHADOW) -> DataFrame:
 
 def analyse_shadows(dets: DataFrame, ground: DataFrame, altitude: DataFrame, grid: DataFrame, cfg: dict = K.SHADOW) -> DataFrame:
     """Adds `analysis` (cues, ratios, lengths, height; NULL where unmeasured) to every detection."""
+    return _analysed(dets, *_measured(dets, ground, altitude, grid, cfg), cfg)
+
+
+def _measured(dets: DataFrame, ground: DataFrame, altitude: DataFrame, grid: DataFrame, cfg: dict) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(clipped boxes with their geometry, ground rows under them, seabed levels), each worked out once."""
     d = cut_lineage(shadow_geometry(clip_boxes(dets.select("det_id", *SIDE, *BOX), grid), altitude, cfg))
     crop = cut_lineage(crop_rows(d, ground))
-    levels = cut_lineage(backgrounds(crop))
+    return d, crop, cut_lineage(backgrounds(crop))
+
+
+def _analysed(dets: DataFrame, d: DataFrame, crop: DataFrame, levels: DataFrame, cfg: dict) -> DataFrame:
     usable = levels.where("background IS NOT NULL").select("det_id", "background")
     runs = cut_lineage(shadow_runs(dark_columns(crop, usable, cfg), cfg))
     core = crop.where(F.col("row").between(F.col("core0"), F.col("core1"))).join(runs, "det_id")
@@ -186,11 +202,9 @@ def texture_entropy_delta(dets: DataFrame, ground: DataFrame, ring: int = 8, n_b
     d = dets.select("det_id", *SIDE, *BOX, F.greatest(F.col("col0") - ring, F.lit(0)).alias("lo_col"),
                     F.least(F.col("col1") + ring, F.col("n_cols").cast("int") - 1).alias("hi_col"))
     crop = cut_lineage(crop_rows(d, ground, row_margin=ring))
-    px = _pixels(crop, *BOX).where("v IS NOT NULL")
+    edges = crop.groupBy("det_id").agg(F.min(F.array_min("cols")).alias("lo"), F.max(F.array_max("cols")).alias("hi")).where("hi > lo")
     inner = F.col("row").between(F.col("ping0"), F.col("ping1")) & F.col("col").between(F.col("col0"), F.col("col1"))
-    px = px.select("det_id", "v", inner.alias("inner"))
-    edges = px.groupBy("det_id").agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
-    b = px.join(edges, "det_id").where("hi > lo")
+    b = _pixels(crop.join(edges, "det_id"), *BOX, "lo", "hi").where("v IS NOT NULL").withColumn("inner", inner)      # rows move, not pixels
     bin_ = F.least(F.floor((F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * n_bins), F.lit(n_bins - 1))
     hist = b.groupBy("det_id", "inner", bin_.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
     total = hist.groupBy("det_id", "inner").agg(F.sum("n").alias("t"))
@@ -202,10 +216,9 @@ def texture_entropy_delta(dets: DataFrame, ground: DataFrame, ring: int = 8, n_b
 
 def features(dets: DataFrame, ground: DataFrame, altitude: DataFrame, grid: DataFrame, cfg: dict = K.SHADOW) -> DataFrame:
     """The thirteen verifier features per detection, in the fixed order; unmeasured ones are -1 (`has_height` tells)."""
-    clipped = cut_lineage(shadow_geometry(clip_boxes(dets.select("det_id", *SIDE, *BOX), grid), altitude, cfg))
-    crop = cut_lineage(crop_rows(clipped, ground))
-    levels = cut_lineage(backgrounds(crop).select("det_id", "background"))
-    a = analyse_shadows(dets, ground, altitude, grid, cfg).select("det_id", "analysis", "score")
+    clipped, crop, measured = _measured(dets, ground, altitude, grid, cfg)
+    levels = measured.select("det_id", "background")
+    a = _analysed(dets, clipped, crop, measured, cfg).select("det_id", "analysis", "score")
     out = clipped.select("det_id", *BOX, "n_cols").join(a, "det_id")
     for part in (shadow_linearity(crop, levels, cfg), contour_regularity(crop, levels), texture_entropy_delta(clipped, ground)):
         out = out.join(part, "det_id", "left")
