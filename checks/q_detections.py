@@ -7,6 +7,7 @@ from pingframe.functions import scoring as S
 from pingframe.operators import clusters as C
 from pingframe.operators import detections as D
 from pingframe.operators.joins import box_pairs, own_place_pairs
+from pingframe.session import written
 
 from .registry import query
 from .sqltext import dist, iou
@@ -125,8 +126,8 @@ def g1_explained(s):
     """kept + dropped-by-a-stronger-kept covers the input."""
     keys = ["survey", "side", "cls"]
     d = s.wide("v_detections")
-    kept = D.greedy_keep(d, keys, 0.4)
-    p = box_pairs(d.select("det_id", "score", *keys, *B.BOX), kept.select("det_id", "score", *keys, *B.BOX), keys, 0.4)
+    kept = written(D.greedy_keep(d, keys, 0.4).select("det_id", "score", *keys, *B.BOX))
+    p = box_pairs(d.select("det_id", "score", *keys, *B.BOX), kept, keys, 0.4, bucket=96, large_left=True)
     stronger = (F.col("r_score") > F.col("l_score")) | ((F.col("r_score") == F.col("l_score")) & (F.col("r_det_id") <= F.col("l_det_id")))
     return p.where(stronger).agg(F.count_distinct("l_det_id").alias("n"))
 
