@@ -116,8 +116,8 @@ def g1(s):
 @query("g1_no_overlap_left", "v_detections", "SELECT det_id AS a_id, det_id AS b_id FROM v_detections WHERE 1 = 0")
 def g1_check(s):
     keys = ["survey", "side", "cls"]
-    kept = D.greedy_keep(s.wide("v_detections"), keys, 0.4)
-    bad = D.suppression_violations(kept.select("det_id", *keys, *B.BOX), keys, 0.4)
+    kept = written(D.greedy_keep(s.wide("v_detections"), keys, 0.4).select("det_id", *keys, *B.BOX))
+    bad = D.suppression_violations(kept, keys, 0.4)
     return bad.select(F.col("l_det_id").alias("a_id"), F.col("r_det_id").alias("b_id"))
 
 
