@@ -69,6 +69,23 @@ def test_an_id_that_names_two_boxes_is_dropped_with_one_of_them(spark, monkeypat
     assert sorted(r.det_id for r in D.greedy_keep(table, KEYS, 0.5).collect()) == by_pairs == ["a", "c"]
 
 
+def test_clusters_fused_in_tasks_are_those_of_the_pairs(spark, monkeypatch):
+    rows = [{**x, "model": None if i % 50 == 3 else i % 4, "brain": "AB"[i % 2]} for i, x in enumerate(boxes())]
+    rows = [{**x, "score": {0.2: 0.25, 0.5: 0.5, 0.9: 0.75}.get(x["score"], 0.125)} for x in rows]      # sums are exact in any order
+    rows += rows[5:15]                                # rows that come twice
+    table = spark.createDataFrame(rows, SCHEMA + ", model int, brain string").repartition(3)
+    told = lambda t: sorted(repr((r.det_id, r.survey, r.cls, r.brain, r.model, r.n_models, r.n_members, r.ping0, r.ping1, r.col0, r.col1, round(r.score, 9))) for r in D.fuse_ensemble(t, 4, 0.4).collect())
+    by_pairs = told(table)
+    monkeypatch.setattr(D, "LISTED_BOXES", 0)
+    with monkeypatch.context() as m:
+        m.setattr(D, "_dropped", None)
+        assert told(table) == by_pairs and len(by_pairs) > 100
+    monkeypatch.setattr(N, "BAND_BOXES", 150)         # groups too large for a task
+    assert told(table) == by_pairs
+    again = table.unionByName(table.where("det_id = 'd007'").withColumn("ping0", F.col("ping0") - 500).withColumn("ping1", F.col("ping1") - 500))
+    assert N.fused_in_groups(again, KEYS, 0.4) is None
+
+
 def test_a_crowded_strip_goes_by_cells(spark, monkeypatch):
     monkeypatch.setattr(N, "BAND_BOXES", 10)
     table = spark.createDataFrame([{**x, "ping0": 3, "ping1": 9} for x in boxes(90)[:90]], SCHEMA).withColumn("_prio", D.by_score())
