@@ -2,6 +2,7 @@
 import random
 import time
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -43,9 +44,8 @@ def sequential(rows, t):
 
 
 @pytest.mark.parametrize("most", [200_000, 110])
-@pytest.mark.parametrize("block", [4096, 7])
 @pytest.mark.parametrize("t", [0.3, 0.55])
-def test_bands_give_the_sequential_answer_without_pairs(spark, monkeypatch, most, block, t):
+def test_bands_give_the_sequential_answer_without_pairs(spark, monkeypatch, most, t):
     monkeypatch.setattr(D, "LISTED_BOXES", 0)
     monkeypatch.setattr(D, "_keep_by_cells", None)
     monkeypatch.setattr(D, "_keep_by_pairs", None)
@@ -61,6 +61,19 @@ def test_bands_give_the_sequential_answer_without_pairs(spark, monkeypatch, most
     assert {(r.det_id, r.seed) for r in got.collect()} == {(k, v) for k, v in seeds.items() if k in ids}
 
 
+@pytest.mark.parametrize("block", [4096, 7])
+@pytest.mark.parametrize("pairs", [1_000_000, 50])
+def test_boxes_are_settled_block_by_block_in_order(monkeypatch, block, pairs):
+    monkeypatch.setattr(N, "BLOCK", block)
+    monkeypatch.setattr(N, "PAIRS", pairs)
+    rows = sorted((x for x in boxes() if None not in (x["ping0"], x["survey"]) and x["survey"] == "a"), key=strength)
+    kept, seeds = sequential(rows, 0.3)
+    box = np.array([[x[c] for x in rows] for c in D.BOX], float)
+    state, seed = N.settle(box, np.arange(len(rows)), np.zeros(len(rows), np.int8), np.ones(len(rows), bool), 0.3)
+    assert {rows[i]["det_id"] for i in np.flatnonzero(state == N.KEPT)} == {k["det_id"] for k in kept}
+    assert {rows[i]["det_id"]: rows[seed[i]]["det_id"] for i in np.flatnonzero(state == N.DROPPED)} == seeds
+
+
 def test_an_id_that_names_two_boxes_is_dropped_with_one_of_them(spark, monkeypatch):
     at = lambda i, p, s: {"survey": "a", "side": "port", "cls": "x", "det_id": i, "ping0": p, "ping1": p + 9, "col0": 0, "col1": 9, "score": s}
     table = spark.createDataFrame([at("a", 0, 0.9), at("b", 1, 0.5), at("b", 50, 0.5), at("c", 51, 0.4)], SCHEMA)
