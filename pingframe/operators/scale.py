@@ -41,8 +41,8 @@ def ranked(df: DataFrame, keys: Sequence[str], order: Sequence[Column], name: st
         return df.withColumn(name, F.row_number().over(part.orderBy(*order)))
     spark = df.sparkSession
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 8)
-    ranged = cut_lineage(df.repartitionByRange(n, *[F.col(k) for k in keys], *order)
-                         .withColumn("_range", F.spark_partition_id()))
+    ranged = written(df.repartitionByRange(n, *[F.col(k) for k in keys], *order)
+                     .withColumn("_range", F.spark_partition_id()))
     # one row per (range, key): at most `n` rows per key, so this window is small
     before = (ranged.groupBy("_range", *keys).count()
               .withColumn("_before", F.coalesce(F.sum("count").over(
@@ -64,8 +64,8 @@ def running_sums(df: DataFrame, keys: Sequence[str], order: Sequence[Column], su
         w = (Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))).orderBy(*order)
         return df.withColumns({o: F.sum(c).over(w.rowsBetween(Window.unboundedPreceding, 0)) for o, c in sums.items()})
     n = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 8)
-    ranged = cut_lineage(df.repartitionByRange(n, *[F.col(k) for k in keys], *order)
-                         .withColumn("_range", F.spark_partition_id()))
+    ranged = written(df.repartitionByRange(n, *[F.col(k) for k in keys], *order)
+                     .withColumn("_range", F.spark_partition_id()))
     w_range = Window.partitionBy(*keys or [F.lit(0)]).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     totals = ranged.groupBy("_range", *keys).agg(*[F.sum(c).alias(f"_t_{o}") for o, c in sums.items()])
     before = totals.select("_range", *keys, *[
