@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from pingframe.functions import scoring as S
 from pingframe.operators import evaluation as E
+from pingframe.session import written
 
 from .registry import query
 from .sqltext import iou
@@ -54,7 +55,7 @@ def g5(s):
 WITH {CAND} SELECT c.config, count(*) AS n, 0 AS claimed_twice FROM v_detections
 JOIN (SELECT unnest(['raw', 'gate', 'verifier', 'full']) AS config) c ON true GROUP BY c.config""")
 def g5_check(s):
-    m = _ablated(s)
+    m = written(_ablated(s).select("config", "truth_id"))
     twice = m.where("truth_id IS NOT NULL").groupBy("config", "truth_id").count().where("count > 1")
     bad = twice.groupBy("config").agg(F.count("*").cast("int").alias("claimed_twice"))
     return m.groupBy("config").agg(F.count("*").alias("n")).join(bad, "config", "left").na.fill(0)
